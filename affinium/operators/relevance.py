@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
-from affinium.operators.blocks import BLOCK_ROWS, block_grid
+from affinium.operators.arrow import ragged
+from affinium.operators.blocks import block_grid
 from affinium.operators.skew import join_totals
 from affinium.session import materialise
 
 # Signatures up to this size are counted through their subsets (2^size - 1).
 SUBSET_LIMIT = 8
+# Block size and category values per step of the grid for wider ones.
+SIGNATURE_BLOCK = 2048
+VALUES_AT_ONCE = 2048
 
 
 def _subsets(categories: Column) -> Column:
@@ -51,25 +55,30 @@ def _narrow_overlaps(narrow: DataFrame) -> DataFrame:
     return joined.groupBy("sig").agg(F.sum(sign * F.col("containing")).alias("n"))
 
 
+def _incidence(sets: pa.ChunkedArray, values: np.ndarray) -> np.ndarray:
+    """0/1 matrix of sets by `values` (sorted)."""
+    rows, entries = ragged(sets)
+    at = np.minimum(np.searchsorted(values, entries), len(values) - 1)
+    inside = values[at] == entries
+    out = np.zeros((len(sets), len(values)), dtype=np.float32)
+    out[rows[inside], at[inside]] = 1.0
+    return out
+
+
 def _cell_overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
     """Items of the right block overlapping each signature of the left block."""
     weights = right["n_items"].to_numpy()
-    holders: dict[str, list[int]] = {}
-    for at, sig in enumerate(right["sig"].to_pylist()):
-        for value in sig:
-            holders.setdefault(value, []).append(at)
-    counts = []
-    for sig in left["sig"].to_pylist():
-        hit = np.zeros(len(weights), dtype=bool)
-        for value in sig:
-            hit[holders.get(value, [])] = True
-        counts.append(int(weights[hit].sum()))
+    shared = np.intersect1d(ragged(left["sig"])[1].astype(str), ragged(right["sig"])[1].astype(str))
+    hit = np.zeros((left.num_rows, right.num_rows), dtype=bool)
+    for start in range(0, len(shared), VALUES_AT_ONCE):
+        values = shared[start : start + VALUES_AT_ONCE].astype(object)
+        hit |= (_incidence(left["sig"], values) @ _incidence(right["sig"], values).T) > 0
     sigs = left["sig"].cast(pa.list_(pa.string()))
-    return pa.table({"sig": sigs, "n": pa.array(counts, pa.int64())})
+    return pa.table({"sig": sigs, "n": pa.array(hit @ weights, pa.int64())})
 
 
 def overlaps_per_signature(
-    signatures: DataFrame, subset_limit: int = SUBSET_LIMIT, block_rows: int = BLOCK_ROWS
+    signatures: DataFrame, subset_limit: int = SUBSET_LIMIT, block_rows: int = SIGNATURE_BLOCK
 ) -> DataFrame:
     """`(sig, n_items, n_overlapping)`: items sharing at least one category, self included.
 
