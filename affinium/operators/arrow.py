@@ -19,12 +19,17 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """List column to (row number of each entry, entry)."""
+def ragged_arrow(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """List column to (row number of each entry, entries)."""
     column = one_array(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
     lengths = np.diff(column.offsets.to_numpy(zero_copy_only=False))
-    return np.repeat(np.arange(len(column)), lengths), flat
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
+def ragged(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same with NumPy entries."""
+    rows, entries = ragged_arrow(column)
+    return rows, entries.to_numpy(zero_copy_only=False)
 
 
 def vector_column(rows: np.ndarray, kind: pa.DataType) -> pa.Array:

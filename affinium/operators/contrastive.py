@@ -72,7 +72,7 @@ def info_nce(z: np.ndarray, weights: np.ndarray, temperature: float) -> tuple[fl
     logits -= logits.max(axis=1, keepdims=True)
     log_prob = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
     target = weights / np.where(valid, mass, 1.0)[:, None]
-    pull = np.where(target > 0, target * log_prob, 0.0)
+    pull = np.multiply(target, log_prob, out=np.zeros_like(target), where=target > 0)
     loss = -pull.sum(axis=1)[valid].mean()
     residual = np.where(valid[:, None], np.exp(log_prob) - target, 0.0) / n_valid
     return float(loss), n_valid, (residual + residual.T) @ z / temperature

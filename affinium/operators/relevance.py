@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
-from affinium.operators.arrow import ragged
+from affinium.operators.arrow import ragged_arrow
 from affinium.operators.blocks import block_grid
 from affinium.operators.skew import join_totals
 from affinium.session import materialise
@@ -55,26 +55,27 @@ def _narrow_overlaps(narrow: DataFrame) -> DataFrame:
     return joined.groupBy("sig").agg(F.sum(sign * F.col("containing")).alias("n"))
 
 
-def _incidence(sets: pa.ChunkedArray, values: np.ndarray) -> np.ndarray:
-    """0/1 matrix of sets by `values` (sorted)."""
-    rows, entries = ragged(sets)
-    at = np.minimum(np.searchsorted(values, entries), len(values) - 1)
-    inside = values[at] == entries
-    out = np.zeros((len(sets), len(values)), dtype=np.float32)
-    out[rows[inside], at[inside]] = 1.0
-    return out
-
-
 def _cell_overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
     """Items of the right block overlapping each signature of the left block."""
-    weights = right["n_items"].to_numpy()
-    shared = np.intersect1d(ragged(left["sig"])[1].astype(str), ragged(right["sig"])[1].astype(str))
+    (l_rows, l_values), (r_rows, r_values) = ragged_arrow(left["sig"]), ragged_arrow(right["sig"])
+    codes = pa.concat_arrays([l_values, r_values]).dictionary_encode().indices.to_numpy()
+    l_codes, r_codes = codes[: len(l_values)], codes[len(l_values) :]
+    shared = np.intersect1d(l_codes, r_codes)
+
+    def incidence(rows: np.ndarray, own: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        inside = values[at] == own
+        out = np.zeros((n, len(values)), dtype=np.float32)
+        out[rows[inside], at[inside]] = 1.0
+        return out
+
     hit = np.zeros((left.num_rows, right.num_rows), dtype=bool)
     for start in range(0, len(shared), VALUES_AT_ONCE):
-        values = shared[start : start + VALUES_AT_ONCE].astype(object)
-        hit |= (_incidence(left["sig"], values) @ _incidence(right["sig"], values).T) > 0
+        values = shared[start : start + VALUES_AT_ONCE]
+        a = incidence(l_rows, l_codes, values, left.num_rows)
+        hit |= (a @ incidence(r_rows, r_codes, values, right.num_rows).T) > 0
     sigs = left["sig"].cast(pa.list_(pa.string()))
-    return pa.table({"sig": sigs, "n": pa.array(hit @ weights, pa.int64())})
+    return pa.table({"sig": sigs, "n": pa.array(hit @ right["n_items"].to_numpy(), pa.int64())})
 
 
 def overlaps_per_signature(
