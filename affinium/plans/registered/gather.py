@@ -360,9 +360,9 @@ query as (select embedding from vectors where row_id = (select min(row_id) from
 top as (
   select v.row_id, round(list_cosine_similarity(v.embedding, query.embedding), 9) score
   from vectors v, query order by score desc, v.row_id limit 5)
-select row_id, round(score, 6) score, round(8 + 20 * score, 6) marker_size,
-       round(least(greatest(score, 0.05), 1), 6)::double marker_alpha,
-       round(least(greatest(score * 0.7, 0.05), 1), 6)::double line_alpha from top
+select row_id, score, round(8 + 20 * score, 8) marker_size,
+       round(least(greatest(score, 0.05), 1), 9)::double marker_alpha,
+       round(least(greatest(score * 0.7, 0.05), 1), 9)::double line_alpha from top
 union all select -1, 1, 12, 1, null""")
 def ml7(spark, folder):
     items = tb.vectors(spark, folder)
@@ -370,5 +370,5 @@ def ml7(spark, folder):
     found = topk.top_k(topk.scores(items, topk.query_vector(first), vec.cosine), 5)
     titled = materialise(found.withColumn("title", F.col("row_id").cast("string")), "found")
     points = result_map(first, titled, "embedding")
-    names = ["score", "marker_size", "marker_alpha", "line_alpha"]
-    return points.select("row_id", *[F.round(name, 6).alias(name) for name in names])
+    digits = {"score": 9, "marker_size": 8, "marker_alpha": 9, "line_alpha": 9}
+    return points.select("row_id", *[F.round(name, n).alias(name) for name, n in digits.items()])

@@ -43,10 +43,6 @@ def ranking(spark, folder, k=10):
     return topk.rank_catalog(queries_of(items), items, k)
 
 
-def rounded_score(df):
-    return df.withColumn("score", F.round("score", 6))
-
-
 @register("flt8_find_title", f"""with {q.CATALOG}, w as (select unnest({TITLES_SQL}) query),
 m as (select query, row_id, (lower(title) <> lower(query))::int cls
       from w join catalog on contains(lower(title), lower(query)))
@@ -101,49 +97,49 @@ def similar_items(spark, folder):
     return topk.similar_to_row(index, lookup.find_item(index, "ring"), 10)
 
 
-@register("top1_similar_by_title", f"with {SIMILAR} select row_id, round(score, 6) score from result")
+@register("top1_similar_by_title", f"with {SIMILAR} select row_id, score from result")
 def top1(spark, folder):
-    return rounded_score(similar_items(spark, folder).select("row_id", "score"))
+    return similar_items(spark, folder).select("row_id", "score")
 
 
 @register("prj10_result_columns", f"with {SIMILAR} select title, \"year\", genres, round(rating, 6) rating, "
-          "round(score, 6) score from result")
+          "score from result")
 def prj10(spark, folder):
-    return rounded_score(topk.present(similar_items(spark, folder))).withColumn("rating", F.round("rating", 6))
+    return topk.present(similar_items(spark, folder)).withColumn("rating", F.round("rating", 6))
 
 
 @register("jn7_query_scores", f"""with {q.VECTORS}
-select v.row_id, round(list_inner_product(v.embedding, w.embedding), 6) score
+select v.row_id, round(list_inner_product(v.embedding, w.embedding), 9) score
 from vectors v, vectors w where w.row_id = (select min(row_id) from vectors)""")
 def jn7(spark, folder):
     items = tb.labelled_vectors(spark, folder)
     first = items.orderBy("row_id").first()
     scored = topk.scores(items, topk.query_vector(first["embedding"]))
-    return rounded_score(scored.select("row_id", "score"))
+    return scored.select("row_id", "score")
 
 
 @register("top3_cosine_top_k", f"""with {q.VECTORS}
-select v.row_id, round(list_cosine_similarity(v.embedding, w.embedding), 6) score
+select v.row_id, round(list_cosine_similarity(v.embedding, w.embedding), 9) score
 from vectors v, vectors w where w.row_id = (select max(row_id) from vectors)
 order by round(list_cosine_similarity(v.embedding, w.embedding), 9) desc, v.row_id limit 3""")
 def top3(spark, folder):
     items = tb.labelled_vectors(spark, folder)
     last = items.orderBy(F.desc("row_id")).first()
     scored = topk.scores(items, topk.query_vector(last["embedding"]), vec.cosine)
-    return rounded_score(topk.top_k(scored, 3).select("row_id", "score"))
+    return topk.top_k(scored, 3).select("row_id", "score")
 
 
-@register("top4_batch_ranking", f'with {q.RANKING} select q_id, row_id, round(score, 6) score, "rank" from ranking')
+@register("top4_batch_ranking", f'with {q.RANKING} select q_id, row_id, score, "rank" from ranking')
 def top4(spark, folder):
-    return rounded_score(ranking(spark, folder)).withColumn("rank", F.col("rank").cast("long"))
+    return ranking(spark, folder).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("top4_block_grid_ranking", f'with {q.RANKING} select q_id, row_id, round(score, 6) score, "rank" from ranking')
+@register("top4_block_grid_ranking", f'with {q.RANKING} select q_id, row_id, score, "rank" from ranking')
 def top4_grid(spark, folder):
     """The same ranking by the path for query tables beyond the broadcast limit."""
     items = tb.labelled_vectors(spark, folder)
     ranked = topk.rank_catalog(queries_of(items), items, 10, query_limit=0, block_rows=256)
-    return rounded_score(ranked).withColumn("rank", F.col("rank").cast("long"))
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("win2_rank_scores", """with s as (
