@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from affinium import fixed
 from affinium.operators.dedupe import first_per_key
+from affinium.operators.skew import join_totals
 from affinium.session import materialise
 
 
@@ -36,17 +37,24 @@ def new_records(records: DataFrame, known: DataFrame) -> DataFrame:
     first for all their titles are settled at once; only rows in conflict with
     them are looked at again, so one or two rounds are the rule.
     """
-    open_rows = without_known(without_known(records, "requested", known), "Title", known)
-    open_rows = materialise(open_rows, "requests")
+    # A repeat of the same two titles can never win over its first occurrence.
     titles = F.array_distinct(F.array(F.lower("requested"), F.lower("Title")))
+    firsts = first_per_key(
+        records.withColumns({"_r": F.lower("requested"), "_t": F.lower("Title")}), ["_r", "_t"], ["seq"]
+    )
+    open_rows = materialise(firsts.drop("_r", "_t"), "requests")
+    # Only known titles that are asked for matter; a small batch is broadcast to find them.
+    asked = open_rows.select(F.explode(titles).alias("known")).distinct()
+    known = materialise(known.join(asked, "known", "left_semi"), "known")
+    open_rows = materialise(without_known(without_known(open_rows, "requested", known), "Title", known), "requests")
     settled = None
     while not open_rows.isEmpty():
         claimed = open_rows.select("seq", F.explode(titles).alias("title"))
-        first = claimed.groupBy("title").agg(F.min("seq").alias("first"))
-        late = claimed.join(first, "title").filter("seq > first").select("seq")
+        first = claimed.groupBy("title").agg(F.min("seq").alias("first"), F.count("*").alias("n_claims"))
+        late = join_totals(claimed, first, "title", "n_claims", "seq").filter("seq > first").select("seq")
         accepted = materialise(open_rows.join(late, "seq", "left_anti"), "accepted")
         settled = accepted if settled is None else settled.unionByName(accepted)
-        taken = known_titles(accepted.select("requested"), accepted.select("Title"))
+        taken = materialise(known_titles(accepted.select("requested"), accepted.select("Title")), "taken")
         rest = without_known(without_known(open_rows, "requested", taken), "Title", taken)
         open_rows = materialise(rest, "requests")
     return open_rows if settled is None else settled

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinium import fixed
 from affinium.operators.arrow import key_runs, matrix, one_array, ragged, vector_column
-from affinium.operators.contrastive import by_batch, info_nce, keep_flags, pair_weights
+from affinium.operators.contrastive import by_batch, epoch_loss, info_nce, keep_flags, pair_weights
 from affinium.operators.ordering import assign_batches
 
 LISTS = {"genres": "genre_idx", "cast": "cast_idx"}
@@ -170,15 +171,14 @@ def embed_text(texts: DataFrame, model: FusionModel) -> DataFrame:
 # --- training -------------------------------------------------------------
 
 
-def gradient_sums(batched: DataFrame, model: FusionModel, temperature: float, jaccard: bool) -> DataFrame:
+def gradient_sums(batched: DataFrame, shared: Broadcast, temperature: float, jaccard: bool) -> DataFrame:
     """Summed gradients of all batches, one row per touched parameter row, and
     the loss totals in the row `('', 0)`.
 
     Every task adds up its own batches first; the sums of the tasks meet in an
     ordinary aggregation, so the result has the size of the model.
     """
-    shared = batched.sparkSession.sparkContext.broadcast(model)
-    dim = model.embed_dim
+    dim = shared.value.embed_dim
     schema = "modality string, idx int, loss double, items long, batches long, grad array<double>"
 
     def rows_of(name: str, block: np.ndarray, first: int) -> pa.RecordBatch:
@@ -225,7 +225,9 @@ def gradient_sums(batched: DataFrame, model: FusionModel, temperature: float, ja
 def mean_gradient(batched: DataFrame, model: FusionModel, temperature: float = fixed.TEMPERATURE,
                   jaccard: bool = False) -> tuple[FusionModel, float, int]:
     """Gradient averaged over the batches, with the summed loss and item count."""
-    table = gradient_sums(batched, model, temperature, jaccard).toArrow()
+    shared = batched.sparkSession.sparkContext.broadcast(model)
+    table = gradient_sums(batched, shared, temperature, jaccard).toArrow()
+    shared.unpersist()
     grad = FusionModel({k: np.zeros_like(v) for k, v in model.weights.items()},
                        {k: np.zeros_like(v) for k, v in model.bias.items()})
     loss, items, batches = 0.0, 0, 0
@@ -243,6 +245,21 @@ def mean_gradient(batched: DataFrame, model: FusionModel, temperature: float = f
     return grad, loss, items
 
 
+def fused_losses(batched: DataFrame, shared: Broadcast, temperature: float, jaccard: bool) -> DataFrame:
+    """Loss of each batch under the model, without any gradient: `(n_items, loss)`."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in key_runs(batches, "batch_id"):
+            inputs = _input_columns(run)
+            z, _ = fuse(shared.value, inputs, None)
+            weights = pair_weights(*inputs["genres"], run.num_rows, jaccard)
+            loss, _, _ = info_nce(z, weights, temperature)
+            yield pa.RecordBatch.from_pydict({"n_items": [run.num_rows], "loss": [loss]})
+
+    narrow = batched.select("batch_id", "row_id", *INPUTS)
+    return by_batch(narrow).mapInArrow(task, "n_items long, loss double")
+
+
 class AdamW:
     """Decoupled weight decay on the model-sized parameters."""
 
@@ -266,9 +283,11 @@ def validation_loss(encoded: DataFrame, model: FusionModel, temperature: float,
                     batch_size: int) -> float:
     """Loss over all batches, the last partial one included, nothing dropped."""
     batched = assign_batches(encoded, "validation", 0, batch_size, drop_last=False)
-    whole = batched.withColumn("keep", F.array(*[F.lit(1.0)] * len(fixed.MODALITIES)))
-    totals = gradient_sums(whole, model, temperature, jaccard).filter("modality = ''").first()
-    return totals["loss"] / totals["items"] if totals else 0.0
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    losses = fused_losses(batched, shared, temperature, jaccard)
+    total = epoch_loss(losses).first()["loss"]
+    shared.unpersist()
+    return total
 
 
 def train_fusion(

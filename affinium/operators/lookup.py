@@ -56,10 +56,20 @@ def index_report(index: DataFrame, catalog: DataFrame, embed_dim: int) -> DataFr
     )
 
 
-def check_index(index: DataFrame, catalog: DataFrame, embed_dim: int, at_least: int = 0) -> None:
-    """Raise when the index is stale, misaligned or too small."""
+def check_index(index: DataFrame, catalog: DataFrame, embed_dim: int) -> None:
+    """Raise when an index does not cover its catalog in the model's dimension.
+
+    Runs over all rows, so it belongs to the build, not to each query.
+    """
     report = index_report(index, catalog, embed_dim).first().asDict()
     if report["wrong_dim"] or report["not_indexed"] or report["index_rows"] != report["catalog_rows"]:
         raise RuntimeError(f"stale index, rebuild it (dimension {embed_dim}): {report}")
-    if report["index_rows"] < at_least:
-        raise RuntimeError(f"need at least {at_least} items: {report}")
+
+
+def check_dimension(index: DataFrame, embed_dim: int, at_least: int = 1) -> None:
+    """Cheap guard of every query: dimension and a minimum size, from a few rows."""
+    sizes = [row["n"] for row in index.select(F.size("embedding").alias("n")).take(at_least)]
+    if any(size != embed_dim for size in sizes):
+        raise RuntimeError(f"stale index, rebuild it: dimension {sizes[0]}, the run uses {embed_dim}")
+    if len(sizes) < at_least:
+        raise RuntimeError(f"need at least {at_least} items, the index has {len(sizes)}")

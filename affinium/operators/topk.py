@@ -142,9 +142,11 @@ def rank_catalog(
     Returns `(q_id, row_id, score, rank)`. Only k rows per query and task leave
     the scoring step, whichever way the two sides meet.
     """
-    few = queries.select("q_id", "embedding").limit(query_limit + 1).toArrow()
-    if few.num_rows <= query_limit:
-        candidates = _broadcast_candidates(few, catalog, k, exclude_self)
+    # `take` stops early, so a large query table is never read just to be measured.
+    many = len(queries.select("q_id").take(query_limit + 1)) > query_limit
+    if not many:
+        held = queries.select("q_id", "embedding").toArrow()
+        candidates = _broadcast_candidates(held, catalog, k, exclude_self)
     else:
         candidates = _grid_candidates(
             queries, catalog, k, exclude_self, block_rows, query_rows, catalog_rows

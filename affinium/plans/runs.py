@@ -12,7 +12,7 @@ from affinium.functions import vectors as vec
 from affinium.operators import collecting, comparison, topk
 from affinium.operators.encoding import encode, fit_encoder
 from affinium.operators.fusion import FusionModel, embed, embed_text, train_fusion
-from affinium.operators.lookup import check_index, find_item
+from affinium.operators.lookup import check_dimension, check_index, find_item
 from affinium.operators.metrics import metrics_at_k
 from affinium.operators.ordering import split_catalog
 from affinium.operators.projection import embedding_map, result_map
@@ -120,13 +120,14 @@ def build_index(spark: SparkSession, run: str, data: str | DataFrame | None = No
     """Embed the whole catalog once; without `data` the run's own catalog is used."""
     encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
-    folder.config()
+    config = folder.config()
     if data is None:
         catalog = folder.splits().drop("split")
     else:
-        catalog = load_catalog(spark, data) if isinstance(data, str) else data
+        catalog = materialise(load_catalog(spark, data) if isinstance(data, str) else data, "catalog")
     inputs = encode(with_text(catalog, encoder, f"{run}/features"), folder.encoder())
     folder.save_index(embed(inputs, folder.model()).select(*catalog.columns, "embedding"))
+    check_index(folder.index(), catalog, config["embed_dim"])
     return folder.index()
 
 
@@ -134,7 +135,7 @@ def similar(spark: SparkSession, run: str, title: str, k: int = 10) -> DataFrame
     """Items most similar to a known title."""
     folder = Run(spark, run)
     index = folder.index()
-    check_index(index, index, folder.config()["embed_dim"])
+    check_dimension(index, folder.config()["embed_dim"])
     return topk.present(topk.similar_to_row(index, find_item(index, title), k))
 
 
@@ -143,7 +144,7 @@ def search(spark: SparkSession, run: str, text: str, k: int = 10, encoder: TextE
     encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
     index = folder.index()
-    check_index(index, index, folder.config()["embed_dim"])
+    check_dimension(index, folder.config()["embed_dim"])
     query = spark.createDataFrame([(text,)], "description string")
     encoded = embed_text(encoder.transform(query, "description", "text"), folder.model())
     vector = topk.query_vector(encoded.first()["embedding"])
@@ -212,7 +213,7 @@ def map_index(spark: SparkSession, run: str, n: int = 300, seed: int = 0) -> Dat
     """Three-dimensional plot table of the stored embeddings."""
     folder = Run(spark, run)
     index = folder.index()
-    check_index(index, index, folder.config()["embed_dim"], at_least=3)
+    check_dimension(index, folder.config()["embed_dim"], at_least=3)
     return embedding_map(index, n, seed)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from affinium import fixed
 from affinium.functions import text as tx
 from affinium.operators.dedupe import first_per_key
+from affinium.session import materialise
 
 CATALOG_SCHEMA = T.StructType(
     [
@@ -29,6 +30,9 @@ CATALOG_SCHEMA = T.StructType(
     ]
 )
 
+# Longest table of file blocks that is broadcast.
+BLOCK_BROADCAST_LIMIT = 100_000
+
 # Short names of the four data sets, relative to a data folder.
 DATASETS = {
     "small": "small.csv",
@@ -78,7 +82,8 @@ def with_row_ids(raw: DataFrame) -> DataFrame:
 
     Every (file, block) is read in order by one task, so a row's id is the
     number of rows in earlier blocks plus its position in its own block. Only
-    the per-block counts meet in one place, never the rows.
+    the per-block counts meet in one place, never the rows. A block table too
+    long to broadcast is joined by shuffle, with one block's rows per key.
     """
     tagged = raw.select(
         "*",
@@ -93,7 +98,9 @@ def with_row_ids(raw: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
         .select(*block, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    numbered = tagged.join(offsets, block)
+    offsets = materialise(offsets, "blocks")
+    few = offsets.count() <= BLOCK_BROADCAST_LIMIT
+    numbered = tagged.join(F.broadcast(offsets) if few else offsets, block)
     row_id = (F.col("_before") + F.col("_seq") - F.col("_first")).alias("row_id")
     return numbered.select(row_id, *[F.col(f"`{name}`") for name in raw.columns])
 

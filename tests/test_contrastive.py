@@ -107,7 +107,8 @@ def encoded(spark, n=48, seed=0, batches=2):
 
 
 def total_loss(spark, df, model):
-    row = fu.gradient_sums(df, model, 0.5, False).filter("modality = ''").first()
+    shared = spark.sparkContext.broadcast(model)
+    row = fu.gradient_sums(df, shared, 0.5, False).filter("modality = ''").first()
     return row["loss"] / row["items"]
 
 

@@ -87,5 +87,8 @@ def test_check_index(spark):
         lookup.check_index(good, catalog, 3)
     with pytest.raises(RuntimeError, match="stale"):
         lookup.check_index(frame(spark, [[1, 0], [0, 1]], [0, 5]), catalog, 2)
+    lookup.check_dimension(good, 2)
+    with pytest.raises(RuntimeError, match="stale"):
+        lookup.check_dimension(good, 3)
     with pytest.raises(RuntimeError, match="at least 3"):
-        lookup.check_index(good, catalog, 2, at_least=3)
+        lookup.check_dimension(good, 2, at_least=3)
