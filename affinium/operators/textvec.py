@@ -106,3 +106,53 @@ class BatchTextEncoder:
             return vector_column(np.asarray(rows, np.float32), pa.float32())
 
         return df.withColumn(target, encode(F.coalesce(text, F.lit(""))))
+
+
+def onnx_encoder(model: str, tokenizer: str, dim: int, name: str | None = None, window: int = 256,
+                 batch_size: int = 64) -> BatchTextEncoder:
+    """Sentence encoder from an exported transformer: mean of the token vectors, unit length.
+
+    `model` and `tokenizer` are files every executor can read. A text longer
+    than the model's window is read window by window to its end, and the mean
+    runs over the tokens of all windows.
+    """
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        session = onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+        wanted = {entry.name for entry in session.get_inputs()}
+        split = Tokenizer.from_file(tokenizer)
+        split.no_padding()
+        split.enable_truncation(window)
+
+        def token_sums(pieces: list) -> tuple[np.ndarray, np.ndarray]:
+            shape = (len(pieces), max(1, *(len(piece.ids) for piece in pieces)))
+            inputs = {key: np.zeros(shape, np.int64) for key in ("input_ids", "attention_mask", "token_type_ids")}
+            for row, piece in enumerate(pieces):
+                inputs["input_ids"][row, : len(piece.ids)] = piece.ids
+                inputs["attention_mask"][row, : len(piece.ids)] = 1
+                inputs["token_type_ids"][row, : len(piece.ids)] = piece.type_ids
+            states = session.run(None, {key: value for key, value in inputs.items() if key in wanted})[0]
+            weights = inputs["attention_mask"][:, :, None]
+            return (states * weights).sum(axis=1), weights.sum(axis=1)
+
+        def encode(texts: list[str]) -> np.ndarray:
+            pieces = [(row, piece) for row, whole in enumerate(split.encode_batch(texts))
+                      for piece in (whole, *whole.overflowing)]
+            total, count = np.zeros((len(texts), dim)), np.zeros((len(texts), 1))
+            for at in range(0, len(pieces), batch_size):
+                part = pieces[at : at + batch_size]
+                rows = [row for row, _ in part]
+                sums, counts = token_sums([piece for _, piece in part])
+                np.add.at(total, rows, sums)
+                np.add.at(count, rows, counts)
+            mean = total / np.maximum(count, 1)
+            return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+        return encode
+
+    return BatchTextEncoder(name or model.rsplit("/", 1)[-1], dim, load, batch_size)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
-from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, PrecomputedEncoder, TfidfTextEncoder
+from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, PrecomputedEncoder, TfidfTextEncoder, onnx_encoder
 from affinium.plans import runs
 from affinium.sources.features import FeatureStore
 
@@ -99,3 +99,48 @@ def test_baseline_map(spark):
     assert len(points) == 5 and by_label["<INPUT>"]["marker_size"] == 12.0
     assert by_label["<INPUT>"]["line_alpha"] is None
     assert by_label["0"]["marker_size"] == pytest.approx(8 + 20 * by_label["0"]["score"])
+
+
+def field(number, payload):
+    """One protobuf field: varint or length-delimited."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(payload, int):
+        return varint(number << 3) + varint(payload)
+    payload = payload.encode() if isinstance(payload, str) else payload
+    return varint(number << 3 | 2) + varint(len(payload)) + payload
+
+
+def lookup_model(table):
+    """Smallest sentence model: token states are rows of a table (one Gather)."""
+    def value(name, kind, rank):
+        shape = b"".join(field(1, field(2, f"{name}{at}")) for at in range(rank))
+        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+    weights = field(1, table.shape[0]) + field(1, table.shape[1]) + field(2, 1) + field(8, "table") + field(9, table.tobytes())
+    node = field(1, "table") + field(1, "input_ids") + field(2, "states") + field(4, "Gather")
+    graph = (field(1, node) + field(2, "g") + field(5, weights) + field(11, value("input_ids", 7, 2))
+             + field(12, value("states", 1, 3)))
+    return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
+
+
+def test_onnx_encoder_reads_whole_texts(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("onnxruntime")
+    words = ["[UNK]", "a", "b", "c"]
+    split = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    split.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    split.save(str(tmp_path / "tokenizer.json"))
+    table = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [2, 2, 2]], np.float32)
+    (tmp_path / "model.onnx").write_bytes(lookup_model(table))
+    encoder = onnx_encoder(str(tmp_path / "model.onnx"), str(tmp_path / "tokenizer.json"), 3, window=4, batch_size=2)
+    texts = ["a b", "a a a a a a a a a b b zzz", "", "c"]
+    got = encoded(frame(spark, texts), encoder)
+    for row, text in zip(got, texts, strict=True):
+        ids = [words.index(w) if w in words else 0 for w in text.split()]
+        mean = table[ids].mean(axis=0) if ids else np.zeros(3)
+        assert row == pytest.approx(mean / max(np.linalg.norm(mean), 1e-12), abs=1e-6)
