@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from affinium import fixed
 from affinium.operators.ordering import sorted_index
+from affinium.session import materialise
 
 # Largest vocabulary kept as an in-expression lookup table.
 LOOKUP_LIMIT = 100_000
@@ -47,8 +48,8 @@ class EncoderState:
 
 
 def genre_vocabulary(items: DataFrame) -> DataFrame:
-    """Sorted distinct categories, 0-based."""
-    values = items.select(F.explode("genres").alias("value")).distinct()
+    """Sorted distinct categories, 0-based. The items are read once."""
+    values = materialise(items.select(F.explode("genres").alias("value")).distinct(), "genres")
     return sorted_index(values, "value").select("value", "idx")
 
 

@@ -99,7 +99,8 @@ def overlaps_per_signature(
                 block_grid(left, right, "sig", "sig", _cell_overlaps, schema, block_rows)
             )
     counted = parts.groupBy("sig").agg(F.sum("n").cast("long").alias("n_overlapping"))
-    return signatures.join(counted, "sig")
+    # Sized by estimates that miss the explode above, so never broadcast.
+    return signatures.join(counted.hint("merge"), "sig")
 
 
 def relevant_counts(items: DataFrame, **options) -> DataFrame:

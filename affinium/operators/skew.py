@@ -39,4 +39,6 @@ def join_totals(
     right = totals.join(F.broadcast(hot), key, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
-    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"]).drop("_part")
+    # Both sides often come from an explode, whose growth size estimates miss:
+    # the hint keeps Spark from broadcasting a table it takes for small.
+    return left.drop("_parts").join(right.drop("_parts").hint("merge"), [key, "_part"]).drop("_part")

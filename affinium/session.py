@@ -42,19 +42,24 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one in `spark.checkpoint.dir`.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder, one
+    per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="affinium-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="affinium-")
+    return _local_folders[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
