@@ -54,7 +54,7 @@ def new_records(records: DataFrame, known: DataFrame) -> DataFrame:
         late = join_totals(claimed, first, "title", "n_claims", "seq").filter("seq > first").select("seq")
         accepted = materialise(open_rows.join(late, "seq", "left_anti"), "accepted")
         settled = accepted if settled is None else settled.unionByName(accepted)
-        taken = materialise(known_titles(accepted.select("requested"), accepted.select("Title")), "taken")
+        taken = accepted.select(F.explode(titles).alias("known"))
         rest = without_known(without_known(open_rows, "requested", taken), "Title", taken)
         open_rows = materialise(rest, "requests")
     return open_rows if settled is None else settled

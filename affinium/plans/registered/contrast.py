@@ -8,7 +8,6 @@ from affinium import fixed
 from affinium.functions import text as tx
 from affinium.functions import vectors as vec
 from affinium.operators import contrastive as con
-from affinium.operators import encoding as enc
 from affinium.operators import ordering
 from affinium.operators.fusion import FusionModel, embed, train_fusion
 from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, PrecomputedEncoder, TfidfTextEncoder

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from affinium import fixed
 from affinium.functions import vectors as vec
 from affinium.operators import collecting, comparison, topk
+from affinium.operators.metrics import metrics_at_k
 from affinium.operators.projection import embedding_map, principal_components, result_map
 from affinium.operators.relevance import mark_hits, relevant_counts
-from affinium.operators.metrics import metrics_at_k
 from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
 from affinium.plans.registered.retrieve import HALF, queries_of, two_variants
@@ -30,7 +30,7 @@ def landed_films(spark, folder):
     reply = F.struct(
         F.when(promo, "False").otherwise("True").alias("Response"), canonical.alias("Title"),
         F.substring_index("Release Date", ", ", -1).alias("Year"), F.col("Genres").alias("Genre"),
-        F.col("Description").alias("Plot"), F.lit("movie").alias("Type"),
+        F.col("Description").alias("Plot"), F.lit("feature").alias("Type"),
     )
     return raw.select(
         F.col("row_id").alias("seq"), F.col("Title").alias("requested"), F.to_json(reply).alias("body")

@@ -9,7 +9,7 @@ from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, Prec
 from affinium.plans import runs
 from affinium.sources.features import FeatureStore
 
-TEXTS = ["a wizard joins a school", "a wizard joins a school", "Wizard!  joins; SCHOOL a a", "école d'été 42", "", "zzz"]
+TEXTS = ["a baker opens a shop", "a baker opens a shop", "Baker!  opens; SHOP a a", "école d'été 42", "", "zzz"]
 
 
 def frame(spark, texts=TEXTS):
@@ -77,12 +77,12 @@ def test_store_with_a_third_of_copies(spark, tmp_path):
 
 def test_baseline(spark):
     df = frame(spark)
-    found = runs.baseline(df, "school wizard", 3, HashedTextEncoder(64)).collect()
+    found = runs.baseline(df, "shop baker", 3, HashedTextEncoder(64)).collect()
     assert [row["row_id"] for row in found] == [0, 1, 2]
     vectors = encoded(df, HashedTextEncoder(64))
-    query = encoded(frame(spark, ["school wizard"]), HashedTextEncoder(64))[0]
+    query = encoded(frame(spark, ["shop baker"]), HashedTextEncoder(64))[0]
     assert found[0]["score"] == pytest.approx(float(vectors[0] @ query), abs=1e-6)
-    ranked = runs.baseline(df, "school wizard", 10, HashedTextEncoder(64)).collect()
+    ranked = runs.baseline(df, "shop baker", 10, HashedTextEncoder(64)).collect()
     assert [row["score"] for row in ranked][-1] == 0.0 and len(ranked) == 6
 
 
@@ -93,7 +93,7 @@ def test_baseline_with_precomputed_vectors(spark):
 
 
 def test_baseline_map(spark):
-    points = runs.baseline_map(frame(spark).withColumn("title", F.col("row_id").cast("string")), "wizard", 4,
+    points = runs.baseline_map(frame(spark).withColumn("title", F.col("row_id").cast("string")), "baker", 4,
                                HashedTextEncoder(64)).collect()
     by_label = {row["label"]: row for row in points}
     assert len(points) == 5 and by_label["<INPUT>"]["marker_size"] == 12.0
