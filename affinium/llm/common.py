@@ -37,7 +37,9 @@ def small_slices(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.
 
 def flat_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray]:
     """Words of lower-cased texts, one after the other, and how many each text has."""
-    split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), pattern=pattern)
+    # A copy that starts at offset 0: lower-casing a slice of a batch can give wrong offsets.
+    whole = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    split = pc.split_pattern_regex(pc.ascii_lower(whole), pattern=pattern)
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     words = split.flatten()
     full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
