@@ -1,6 +1,6 @@
 """All registered queries of this folder."""
 
-from affinium.llm import chat, decontaminate, minhash, packing, secrets, sharding, toxicity  # noqa: F401
+from affinium.llm import chat, decontaminate, language_model, minhash, packing, secrets, sharding, toxicity  # noqa: F401
 from affinium.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
