@@ -9,14 +9,19 @@ and every pair within that distance meets under one of them. At a
 similarity of 0.8 a pair misses all eight chunks with probability 1.1e-6.
 
 Documents with equal sets are one class from the start. Under each key the
-classes are first compared with one leader only; what links join is
-contracted to components. Then, under the keys where several components
-still meet, every class outside the leader's component is compared with all
-members of other components. So every pair that shares a key is either
-compared or already connected, while a key that holds a third of all
-documents costs one comparison each. Candidates whose signatures differ in
-more than 20 symbols are left out (a linked pair does with probability
-1e-8); the others are confirmed on their full sets.
+classes are first compared with one leader only, the class that meets most
+others; what links join is contracted to components. Then, under the keys
+where several components still meet, every class outside the leader's
+component is a candidate with all members of other components. So every pair
+that shares a key is either compared or already connected.
+
+The comparison with the leader also bounds those candidates. Two classes
+share at most the smaller of their overlaps with the leader, and of what
+they have beside it at most what falls into the same of 512 bits. Pairs
+whose bound misses the threshold, as heavily edited copies of one text do,
+never leave the join. Neither do pairs whose signatures differ in more than
+20 symbols (a linked pair does with probability 1e-7). The others are
+confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 CHUNKS, SYMBOLS, BITS = 8, 4, 16
 MOST_DIFFERENT = 20
+# Longs of bits that mark what a class has beside its leader.
+REST = 8
 # Shingles hashed at once inside a task.
 STEP = 1 << 15
 
@@ -145,7 +152,17 @@ def _distance(left: str, right: str) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _confirm(size: int, percent: int):
+REST_NAMES = [f"r{i}" for i in range(REST)]
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which members of sorted x are in sorted y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def _compare(size: int, percent: int, bounds: bool):
+    """Confirmed links; with `bounds` every pair, with the overlap and the rest of b beside a."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(small_slices(batches, "text_a"), "text_b"):
             sides = []
@@ -155,22 +172,43 @@ def _confirm(size: int, percent: int):
                 ids = [class_of(s) if len(s) else None for s in sets]
                 sides.append((texts.indices.to_pylist(), sets, ids, batch.column(side).to_pylist()))
             (ia, sa, ca, a), (ib, sb, cb, b) = sides
-            found = []
+            out, rests = [], []
             for x, y, p, q in zip(ia, ib, a, b):
-                if ca[x] == p and cb[y] == q:
-                    small, large = sorted((sa[x], sb[y]), key=len)
-                    if 100 * len(small) >= percent * len(large):
-                        at = np.searchsorted(large, small)
-                        both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                        if 100 * both >= percent * (len(small) + len(large) - both):
-                            found.append((p, q))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["a", "b"]
-            )
+                if ca[x] != p or cb[y] != q:
+                    continue
+                inside = _overlap(sb[y], sa[x])
+                both = int(inside.sum())
+                linked = 100 * both >= percent * (len(sa[x]) + len(sb[y]) - both)
+                if bounds:
+                    rest = sb[y][~inside] >> np.uint64(55)
+                    marks = np.zeros(64 * REST, np.uint8)
+                    marks[rest] = 1
+                    rests.append(np.packbits(marks).view(np.int64))
+                    out.append((p, q, linked, both, len(rest), len(sb[y]), len(rest) - int(marks.sum())))
+                elif linked:
+                    out.append((p, q))
+            names = ["a", "b", "linked", "both", "rest", "n", "hidden"] if bounds else ["a", "b"]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+            arrays = [pa.array([o[i] for o in out], kinds[i]) for i in range(len(names))]
+            if bounds:
+                marked = np.array(rests, np.int64).reshape(len(rests), REST)
+                arrays += [pa.array(marked[:, i]) for i in range(REST)]
+            yield pa.RecordBatch.from_arrays(arrays, names + (REST_NAMES if bounds else []))
 
     return run
 
 
+def _may_link(percent: int) -> Column:
+    """Whether the bounds of strays (a_) and others (b_) under one leader leave room for a link."""
+    shared = reduce(
+        lambda x, y: x + y, [F.bit_count(F.col(f"a_{r}").bitwiseAND(F.col(f"b_{r}"))) for r in REST_NAMES]
+    )
+    # Members of the rest behind one bit beyond its first are counted as shared.
+    beside = F.least(shared + F.least("a_hidden", "b_hidden"), F.col("a_rest"), F.col("b_rest"))
+    most = F.least("a_both", "b_both") + beside
+    return 100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)
+
+
 def near_duplicates(
     documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -191,41 +229,56 @@ def near_duplicates(
     )
     classes = materialise(classes, "minhash-classes")
     filed = materialise(classes.select("class", F.explode(_keys()).alias("key")), "minhash-keys")
-    leaders = filed.groupBy("key").agg(F.min("class").alias("leader"), F.count("*").alias("members"))
-    shared = materialise(
-        filed.join(leaders.where("members > 1").drop("members"), "key"), "minhash-shared"
+    sizes = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialise(filed.join(sizes, "key"), "minhash-shared")
+    met = shared.groupBy("class").agg(F.sum("members").alias("met"))
+    leaders = (
+        shared.join(met, "class").groupBy("key")
+        .agg(F.max(F.struct("met", "class"))["class"].alias("leader"))
     )
+    shared = materialise(shared.select("key", "class").join(leaders, "key"), "minhash-led")
     first = shared.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    first = materialise(_close(first, classes), "minhash-pairs")
     needed = shared.select("class").distinct().join(classes.select("class", "id"), "class")
     texts = materialise(rows.join(needed, "id").select("class", "text"), "minhash-texts")
-    links = materialise(_linked(first, texts, size, percent), "minhash-star")
-    labels = components(links, "minhash-star")
-    # Keys under which several components meet.
+    compared = _with_texts(first, texts).mapInArrow(
+        _compare(size, percent, True),
+        "a long, b long, linked boolean, both long, rest long, n long, hidden long, "
+        + ", ".join(f"{r} long" for r in REST_NAMES),
+    )
+    compared = materialise(compared, "minhash-star")
+    labels = components(compared.where("linked").select("a", "b"), "minhash-star")
+    # Keys under which several components meet, and the leader's component there.
     named = shared.join(labels.withColumnRenamed("id", "class"), "class", "left")
     named = named.select("key", "class", "leader", F.coalesce("component", "class").alias("component"))
     named = materialise(named, "minhash-named")
     mixed = (
-        named.groupBy("key", "leader")
+        named.groupBy("key")
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
             F.max(F.when(F.col("class") == F.col("leader"), F.col("component"))).alias("main"),
         )
         .where("low <> high").select("key", "main")
     )
-    members = named.join(mixed, "key")
-    strays = members.where("component <> main").select(
-        "key", F.col("class").alias("a"), F.col("component").alias("component_a")
-    )
-    others = members.where("class <> leader").select(
-        "key", F.col("class").alias("b"), F.col("component").alias("component_b"), "main"
+    # The leader has been compared with all members, so it is no candidate any more.
+    bounds = compared.drop("linked").withColumnsRenamed({"a": "leader", "b": "class"})
+    members = (
+        named.where("class <> leader").join(mixed, "key")
+        .join(bounds, ["leader", "class"]).join(classes.drop("id"), "class")
     )
+    members = materialise(members, "minhash-members")
+    values = ["class", "component", "both", "rest", "n", "hidden", *REST_NAMES, *CHUNK_NAMES]
+    strays = members.where("component <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in values])
+    others = members.select("key", "main", *[F.col(c).alias(f"b_{c}") for c in values])
     # A pair of two strays is taken once.
     second = strays.join(others, "key").where(
-        "component_a <> component_b and (component_b = main or a < b)"
+        (F.col("a_component") != F.col("b_component"))
+        & ((F.col("b_component") == F.col("main")) | (F.col("a_class") < F.col("b_class")))
+        & _may_link(percent)
+        & (_distance("a_", "b_") <= MOST_DIFFERENT)
     )
-    second = _close(second.select("a", "b").distinct(), classes)
-    more = materialise(_linked(second, texts, size, percent), "minhash-strays")
+    second = second.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    more = _with_texts(second, texts).mapInArrow(_compare(size, percent, False), "a long, b long")
+    more = materialise(more, "minhash-strays")
     name = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     eman = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     bridges = more.join(name, "a", "left").join(eman, "b", "left").select(
@@ -255,19 +308,11 @@ def near_duplicates(
     )
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most MOST_DIFFERENT symbols."""
-    for side in "ab":
-        sketch = classes.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in CHUNK_NAMES])
-        pairs = pairs.join(sketch, side)
-    return pairs.where(_distance("a_", "b_") <= MOST_DIFFERENT).select("a", "b")
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) confirmed on the full sets of their texts."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with a text of each."""
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("class").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b")
 
 
 def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
