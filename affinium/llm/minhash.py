@@ -127,18 +127,24 @@ def _sign(size: int):
     return run
 
 
-def _keys() -> Column:
-    """Every chunk with each symbol left out, told apart by chunk and place."""
+def _left_out() -> list[tuple[str, Column]]:
+    """Every chunk with the mask of each symbol left out."""
     lanes = [((1 << BITS) - 1) << (BITS * i) for i in range(SYMBOLS)]
     masks = [(~lane) & (2**64 - 1) for lane in lanes]
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    return F.array(
-        *[
-            F.xxhash64(F.lit(i * SYMBOLS + j), F.col(c).bitwiseAND(F.lit(mask).cast("long")))
-            for i, c in enumerate(CHUNK_NAMES)
-            for j, mask in enumerate(signed)
-        ]
-    )
+    return [(c, F.lit(m - 2**64 if m >= 2**63 else m).cast("long")) for c in CHUNK_NAMES for m in masks]
+
+
+def _keys() -> Column:
+    return F.array(*[F.xxhash64(F.lit(i), F.col(c).bitwiseAND(mask)) for i, (c, mask) in enumerate(_left_out())])
+
+
+def _first_shared(left: str, right: str) -> Column:
+    """Place of the first key that two signatures share."""
+    out = F.lit(None).cast("int")
+    for i, (c, mask) in reversed(list(enumerate(_left_out()))):
+        same = F.col(left + c).bitwiseXOR(F.col(right + c)).bitwiseAND(mask) == 0
+        out = F.when(same, i).otherwise(out)
+    return out
 
 
 def _distance(left: str, right: str) -> Column:
@@ -228,7 +234,7 @@ def near_duplicates(
         signed.where("class is not null and id is not null").groupBy("class", *CHUNK_NAMES).agg(F.min("id").alias("id"))
     )
     classes = materialise(classes, "minhash-classes")
-    filed = materialise(classes.select("class", F.explode(_keys()).alias("key")), "minhash-keys")
+    filed = materialise(classes.select("class", F.posexplode(_keys()).alias("place", "key")), "minhash-keys")
     sizes = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = materialise(filed.join(sizes, "key"), "minhash-shared")
     met = shared.groupBy("class").agg(F.sum("members").alias("met"))
@@ -236,7 +242,7 @@ def near_duplicates(
         shared.join(met, "class").groupBy("key")
         .agg(F.max(F.struct("met", "class"))["class"].alias("leader"))
     )
-    shared = materialise(shared.select("key", "class").join(leaders, "key"), "minhash-led")
+    shared = materialise(shared.select("key", "place", "class").join(leaders, "key"), "minhash-led")
     first = shared.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     needed = shared.select("class").distinct().join(classes.select("class", "id"), "class")
     texts = materialise(rows.join(needed, "id").select("class", "text"), "minhash-texts")
@@ -249,7 +255,7 @@ def near_duplicates(
     labels = components(compared.where("linked").select("a", "b"), "minhash-star")
     # Keys under which several components meet, and the leader's component there.
     named = shared.join(labels.withColumnRenamed("id", "class"), "class", "left")
-    named = named.select("key", "class", "leader", F.coalesce("component", "class").alias("component"))
+    named = named.select("key", "place", "class", "leader", F.coalesce("component", "class").alias("component"))
     named = materialise(named, "minhash-named")
     mixed = (
         named.groupBy("key")
@@ -267,14 +273,15 @@ def near_duplicates(
     )
     members = materialise(members, "minhash-members")
     values = ["class", "component", "both", "rest", "n", "hidden", *REST_NAMES, *CHUNK_NAMES]
-    strays = members.where("component <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in values])
+    strays = members.where("component <> main").select("key", "place", *[F.col(c).alias(f"a_{c}") for c in values])
     others = members.select("key", "main", *[F.col(c).alias(f"b_{c}") for c in values])
-    # A pair of two strays is taken once.
+    # A pair of two strays is taken once, any pair only under the first key that it shares.
     second = strays.join(others, "key").where(
         (F.col("a_component") != F.col("b_component"))
         & ((F.col("b_component") == F.col("main")) | (F.col("a_class") < F.col("b_class")))
         & _may_link(percent)
         & (_distance("a_", "b_") <= MOST_DIFFERENT)
+        & (_first_shared("a_", "b_") == F.col("place"))
     )
     second = second.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     more = _with_texts(second, texts).mapInArrow(_compare(size, percent, False), "a long, b long")
