@@ -35,9 +35,9 @@ from affinium.session import materialise
 
 ORDER = 2
 MOST_ORDER = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 # Distinct n-grams a reducer is meant to hold.
-REDUCER_KEYS = 2 << 20
+REDUCER_KEYS = 1 << 20
 BUCKETS = 32
 LEVELS = 64
 EM_ROUNDS = 60
