@@ -15,12 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
+# Bytes of vectors, as doubles, in a block of the right side; the left side's is this many times larger.
+BLOCK_BYTES = 16 << 20
+LEFT_SHARE = 4
 
 
 def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, -(-rows // block_rows))
 
 
+def rows_of(df: DataFrame, vector: str) -> tuple[int, int]:
+    """Number of rows and of vectors' components per block, from one pass."""
+    found = df.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dim")).first()
+    return found["n"], max(1, BLOCK_BYTES // (8 * max(1, found["dim"] or 1)))
+
+
 def block_grid(
     left: DataFrame,
     right: DataFrame,
@@ -28,13 +37,24 @@ def block_grid(
     right_id: str,
     reduce_cell: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
     left_rows: int | None = None,
     right_rows: int | None = None,
+    vector: str | None = None,
 ) -> DataFrame:
-    """Apply `reduce_cell` to every (left block, right block) pair."""
-    n_left = block_count(left.count() if left_rows is None else left_rows, block_rows)
-    n_right = block_count(right.count() if right_rows is None else right_rows, block_rows)
+    """Apply `reduce_cell` to every (left block, right block) pair.
+
+    Without block_rows, blocks are sized by the bytes of the `vector` column.
+    Each side is copied once per block of the other, so the left blocks are
+    the larger ones.
+    """
+    left_block = right_block = block_rows
+    if block_rows is None:
+        left_rows, left_block = rows_of(left, vector)
+        right_rows, right_block = rows_of(right, vector)
+        left_block *= LEFT_SHARE
+    n_left = block_count(left.count() if left_rows is None else left_rows, left_block)
+    n_right = block_count(right.count() if right_rows is None else right_rows, right_block)
 
     def spread(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))

@@ -11,10 +11,6 @@ from affinium import fixed
 from affinium.operators.ordering import sorted_index
 from affinium.session import materialise
 
-# Largest vocabulary kept as an in-expression lookup table.
-LOOKUP_LIMIT = 100_000
-LOOKUP_BUCKETS = 256
-
 
 @dataclass
 class EncoderState:
@@ -58,7 +54,11 @@ def frequent_vocabulary(values: DataFrame, first_index: int, cap: int = fixed.VO
 
     The final numbering sees at most `cap` rows.
     """
-    top = values.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(cap)
+    return _most_frequent(values.groupBy("value").agg(F.count("*").alias("n")), first_index, cap)
+
+
+def _most_frequent(counted: DataFrame, first_index: int, cap: int) -> DataFrame:
+    top = counted.orderBy(F.desc("n"), "value").limit(cap)
     position = F.row_number().over(Window.orderBy(F.desc("n"), "value"))
     return top.select("value", (position + (first_index - 1)).cast("long").alias("idx"))
 
@@ -98,11 +98,28 @@ def fit_stats(items: DataFrame) -> DataFrame:
 
 
 def fit_encoder(train: DataFrame, cap: int = fixed.VOCABULARY_CAP) -> EncoderState:
+    """All vocabularies from one pass of counts over (field, value), the statistics from another."""
+
+    def entry(field: str, value: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("value"))
+
+    people = [F.when(F.col(f) != fixed.MISSING, entry(f, F.col(f))) for f in ("director", "writer")]
+
+    def entries(field: str) -> Column:
+        return F.transform(F.coalesce(field, F.array().cast("array<string>")), lambda value: entry(field, value))
+
+    named = F.array_compact(F.array(*people))
+    values = train.select(F.inline(F.concat(entries("genres"), entries("cast"), named)))
+    counts = materialise(values.groupBy("field", "value").agg(F.count("*").alias("n")), "values")
+
+    def of(field: str) -> DataFrame:
+        return counts.filter(F.col("field") == field).select("value", "n")
+
     parts = {
-        "genres": genre_vocabulary(train),
-        "director": people_vocabulary(train, "director", cap),
-        "writer": people_vocabulary(train, "writer", cap),
-        "cast": cast_vocabulary(train, cap),
+        "genres": sorted_index(of("genres").select("value"), "value").select("value", "idx"),
+        "director": _most_frequent(of("director"), 1, cap),
+        "writer": _most_frequent(of("writer"), 1, cap),
+        "cast": _most_frequent(of("cast"), 0, cap),
     }
     vocab = None
     for field, part in parts.items():
@@ -111,42 +128,31 @@ def fit_encoder(train: DataFrame, cap: int = fixed.VOCABULARY_CAP) -> EncoderSta
     return EncoderState(vocab, fit_stats(train))
 
 
-def _lookup_table(vocab: DataFrame) -> Column:
-    """Vocabulary as one constant: an array of small maps, addressed by hash.
+def _list_indexes(df: DataFrame, vocab: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Sorted distinct vocabulary indexes of list columns; unknowns are ignored, a null list is empty.
 
-    Encoding a list is then a projection, with neither explode nor shuffle.
+    All fields go through one explode, one join and one aggregate per row.
     """
-    bucket = F.pmod(F.hash("value"), F.lit(LOOKUP_BUCKETS)).alias("bucket")
-    entries = (
-        vocab.groupBy(bucket)
-        .agg(F.map_from_entries(F.collect_list(F.struct("value", F.col("idx").cast("int")))).alias("part"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "part"))).alias("parts"))
-    )
-    slots = F.sequence(F.lit(0), F.lit(LOOKUP_BUCKETS - 1))
-    return entries.select(F.transform(slots, lambda slot: F.col("parts")[slot]).alias("table")).scalar()
-
-
-def _list_indexes(df: DataFrame, source: str, target: str, vocab: DataFrame, size: int) -> DataFrame:
-    """Sorted distinct vocabulary indexes of a list column; unknowns are ignored."""
-    if size <= LOOKUP_LIMIT:
-
-        def index_of(value: Column) -> Column:
-            slot = F.pmod(F.hash(value), F.lit(LOOKUP_BUCKETS))
-            return F.try_element_at(F.get("_table", slot), value)
-
-        known = F.filter(F.transform(source, index_of), lambda index: index.isNotNull())
-        looked_up = df.withColumn("_table", _lookup_table(vocab))
-        return looked_up.withColumn(target, F.array_sort(F.array_distinct(known))).drop("_table")
-    found = (
-        df.select("row_id", F.explode(F.array_distinct(source)).alias("value"))
-        .join(vocab.select("value", F.col("idx").cast("int").alias("idx")), "value")
-        .groupBy("row_id")
-        .agg(F.array_sort(F.collect_set("idx")).alias(target))
-    )
-    return df.join(found, "row_id", "left").withColumn(
-        target, F.coalesce(target, F.array().cast("array<int>"))
+
+    def entries_of(field: str) -> Column:
+        return F.transform(
+            F.array_distinct(F.coalesce(field, F.array().cast("array<string>"))),
+            lambda value: F.struct(F.lit(field).alias("field"), value.alias("value")),
+        )
+
+    entries = df.select("row_id", F.inline(F.concat(*[entries_of(field) for field in targets])))
+    known = vocab.select(F.col("field").cast("string").alias("field"), "value", F.col("idx").cast("int").alias("idx"))
+    found = entries.join(known, ["field", "value"]).groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.struct("field", "idx"))).alias("_found")
     )
 
+    def indexes(field: str) -> Column:
+        own = F.transform(F.filter("_found", lambda e: e["field"] == field), lambda e: e["idx"])
+        return F.coalesce(own, F.array().cast("array<int>"))
+
+    joined = df.join(found, "row_id", "left")
+    return joined.withColumns({target: indexes(field) for field, target in targets.items()}).drop("_found")
+
 
 def encode_people(df: DataFrame, column: str, target: str, vocab: DataFrame) -> DataFrame:
     """Value to vocabulary index, unknown to 0. The vocabulary is capped, so it is broadcast."""
@@ -166,19 +172,17 @@ def z_score(value: Column, mean: Column, std: Column) -> Column:
     return (value - mean) / F.greatest(std, F.lit(fixed.STD_FLOOR))
 
 
-def encode(df: DataFrame, state: EncoderState, sizes: dict[str, int] | None = None) -> DataFrame:
+def encode(df: DataFrame, state: EncoderState) -> DataFrame:
     """Add the encoded metadata of every item, sparse for list-valued fields.
 
     Missing years fall to the middle of the range, missing ratings and
     durations to the mean, missing votes to zero votes.
     """
-    sizes = sizes or state.sizes()
 
     def vocab(field: str) -> DataFrame:
         return state.vocab.filter(F.col("field") == field)
 
-    out = _list_indexes(df, "genres", "genre_idx", vocab("genres"), sizes["genres"])
-    out = _list_indexes(out, "cast", "cast_idx", vocab("cast"), sizes["cast"])
+    out = _list_indexes(df, state.vocab, {"genres": "genre_idx", "cast": "cast_idx"})
     out = encode_people(out, "director", "director_idx", vocab("director"))
     out = encode_people(out, "writer", "writer_idx", vocab("writer"))
     names = list(fixed.DEFAULT_STATS)

@@ -66,10 +66,10 @@ def check_index(index: DataFrame, catalog: DataFrame, embed_dim: int) -> None:
         raise RuntimeError(f"stale index, rebuild it (dimension {embed_dim}): {report}")
 
 
-def check_dimension(index: DataFrame, embed_dim: int, at_least: int = 1) -> None:
-    """Cheap guard of every query: dimension and a minimum size, from a few rows."""
-    sizes = [row["n"] for row in index.select(F.size("embedding").alias("n")).take(at_least)]
-    if any(size != embed_dim for size in sizes):
-        raise RuntimeError(f"stale index, rebuild it: dimension {sizes[0]}, the run uses {embed_dim}")
-    if len(sizes) < at_least:
-        raise RuntimeError(f"need at least {at_least} items, the index has {len(sizes)}")
+def check_dimension(info: dict, embed_dim: int, at_least: int = 1) -> None:
+    """Guard of every query, from what the build counted: all dimensions and a minimum size."""
+    dims = {info["least_dim"], info["most_dim"]}
+    if info["n_rows"] and dims != {embed_dim}:
+        raise RuntimeError(f"stale index, rebuild it: dimensions {sorted(dims)}, the run uses {embed_dim}")
+    if info["n_rows"] < at_least:
+        raise RuntimeError(f"need at least {at_least} items, the index has {info['n_rows']}")

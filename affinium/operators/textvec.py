@@ -72,14 +72,24 @@ class TfidfTextEncoder(HashedTextEncoder):
 
 
 class PrecomputedEncoder:
-    """Vectors that already exist, keyed by row id."""
+    """Vectors that already exist, keyed by row id.
 
-    def __init__(self, vectors: DataFrame, row_id: str, vector: str, dim: int, name: str = "precomputed"):
+    An item without a vector is an error, unless the caller asks to leave
+    such items out.
+    """
+
+    def __init__(self, vectors: DataFrame, row_id: str, vector: str, dim: int, name: str = "precomputed",
+                 drop_absent: bool = False):
         self.vectors = vectors.select(F.col(row_id).alias("row_id"), F.col(vector).alias("_vector"))
-        self.dim, self.name = dim, name
+        self.dim, self.name, self.drop_absent = dim, name, drop_absent
 
     def transform(self, df: DataFrame, text: str, target: str) -> DataFrame:
-        return df.join(self.vectors.withColumnRenamed("_vector", target), "row_id")
+        joined = df.join(self.vectors, "row_id", "inner" if self.drop_absent else "left")
+        kind = self.vectors.schema["_vector"].dataType
+        absent = F.raise_error(F.concat(F.lit("no vector for item "), F.col("row_id").cast("string"))).cast(kind)
+        return joined.withColumn(
+            target, F.when(F.col("_vector").isNull(), absent).otherwise(F.col("_vector"))
+        ).drop("_vector")
 
 
 class BatchTextEncoder:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +9,8 @@ from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
 from affinium.operators.arrow import matrix
-from affinium.operators.blocks import BLOCK_ROWS, block_grid
+from affinium.operators.blocks import block_grid
 
-# Queries held by every task at once; larger query tables use the block grid.
-QUERY_LIMIT = 4096
 # Queries multiplied at once, which bounds the score matrix of a task.
 QUERY_CHUNK = 512
 # Equal vectors must tie whatever kernel multiplied them.
@@ -85,30 +81,20 @@ def _candidate_table(q_ids: np.ndarray, best) -> pa.Table:
     )
 
 
-def _broadcast_candidates(queries: pa.Table, catalog: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """The catalog stays where it is; every task keeps k items per query."""
-    q_ids = queries["q_id"].to_numpy()
-    shared = catalog.sparkSession.sparkContext.broadcast((q_ids, matrix(queries["embedding"])))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_matrix = shared.value
-        best = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("row_id").to_numpy(zero_copy_only=False)
-            found = _block_candidates(q_ids, q_matrix, ids, matrix(batch.column("embedding")), k, exclude_self)
-            if best is not None:
-                found = _best(*(np.concatenate(pair) for pair in zip(best, found, strict=True)), k)
-            best = found
-        if best is not None:
-            yield from _candidate_table(q_ids, best).to_batches()
-
-    return catalog.select("row_id", "embedding").mapInArrow(scan, CANDIDATES)
-
+def rank_catalog(
+    queries: DataFrame,
+    catalog: DataFrame,
+    k: int,
+    exclude_self: bool = True,
+    block_rows: int | None = None,
+    query_rows: int | None = None,
+    catalog_rows: int | None = None,
+) -> DataFrame:
+    """Exact top-k of `catalog(row_id, embedding)` for each of `queries(q_id, embedding)`.
 
-def _grid_candidates(queries, catalog, k, exclude_self, block_rows, query_rows, catalog_rows) -> DataFrame:
-    """Beyond the broadcast limit: query blocks meet item blocks in a grid."""
+    Returns `(q_id, row_id, score, rank)`. Blocks of queries meet blocks of
+    items, each of bounded bytes; only k rows per query leave a pair of blocks.
+    """
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids = left["q_id"].to_numpy()
@@ -121,36 +107,10 @@ def _grid_candidates(queries, catalog, k, exclude_self, block_rows, query_rows,
         )
         return _candidate_table(q_ids, best)
 
-    return block_grid(
+    candidates = block_grid(
         queries.select("q_id", "embedding"), catalog.select("row_id", "embedding"), "q_id", "row_id",
-        cell, CANDIDATES, block_rows, query_rows, catalog_rows,
+        cell, CANDIDATES, block_rows, query_rows, catalog_rows, "embedding",
     )
-
-
-def rank_catalog(
-    queries: DataFrame,
-    catalog: DataFrame,
-    k: int,
-    exclude_self: bool = True,
-    query_limit: int = QUERY_LIMIT,
-    block_rows: int = BLOCK_ROWS,
-    query_rows: int | None = None,
-    catalog_rows: int | None = None,
-) -> DataFrame:
-    """Exact top-k of `catalog(row_id, embedding)` for each of `queries(q_id, embedding)`.
-
-    Returns `(q_id, row_id, score, rank)`. Only k rows per query and task leave
-    the scoring step, whichever way the two sides meet.
-    """
-    # `take` stops early, so a large query table is never read just to be measured.
-    many = len(queries.select("q_id").take(query_limit + 1)) > query_limit
-    if not many:
-        held = queries.select("q_id", "embedding").toArrow()
-        candidates = _broadcast_candidates(held, catalog, k, exclude_self)
-    else:
-        candidates = _grid_candidates(
-            queries, catalog, k, exclude_self, block_rows, query_rows, catalog_rows
-        )
     best_first = Window.partitionBy("q_id").orderBy(F.desc("score"), "row_id")
     return candidates.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 

@@ -93,7 +93,8 @@ def ml4(spark, folder):
 @register("ml1_precomputed_vectors", f"""with {q.INDEX}
 select row_id, list_transform(embedding, lambda x: round(x, 5)) text from indexed""")
 def ml1_precomputed(spark, folder):
-    encoder = PrecomputedEncoder(tb.table(spark, folder, "embeddings"), "vec_id", "embedding", 64)
+    encoder = PrecomputedEncoder(tb.table(spark, folder, "embeddings"), "vec_id", "embedding", 64,
+                                 drop_absent=True)
     items = encoder.transform(tb.catalog(spark, folder), "description", "text")
     return items.select("row_id", F.transform("text", lambda x: F.round(x.cast("double"), 5)).alias("text"))
 

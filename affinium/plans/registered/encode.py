@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinium import fixed
@@ -11,7 +14,7 @@ from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
 from affinium.session import fresh_path, materialise
 from affinium.sources import tables as tb
-from affinium.sources.store import Run, from_flat
+from affinium.sources.store import SPLITS, Run, from_flat
 
 
 def labelled(spark, folder):
@@ -54,15 +57,19 @@ def src6(spark, folder):
     return run.split("test").select("row_id", "title", "genres", "cast", "director", "writer", "description")
 
 
-@register("snk3_save_splits", f"with {q.SPLIT} select row_id, title, genres, \"cast\", director from labelled "
-          "where split = 'val'")
+@register("snk3_save_splits", f"with {q.SPLIT} select split, row_id, title, genres, \"cast\", director from labelled")
 def snk3(spark, folder):
     run = Run(spark, fresh_path(spark, "run"))
     run.save_splits(labelled(spark, folder))
-    path = fresh_path(spark, "export")
-    run.export_split("val", path)
-    text = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return from_flat(text).select(F.col("row_id").cast("long"), "title", "genres", "cast", "director")
+    parts = []
+    for split in SPLITS:
+        path = fresh_path(spark, f"export-{split}")
+        run.export_split(split, path)
+        text = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        parts.append(from_flat(text).select(
+            F.lit(split).alias("split"), F.col("row_id").cast("long"), "title", "genres", "cast", "director"
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("agg1_genre_vocabulary", f"with {q.VOCAB} select value, idx from genre_vocab")

@@ -278,17 +278,26 @@ def agg11(spark, folder):
 
 @register("set2_title_sets", f"""with {q.CATALOG},
 s as (select director, "year", list(distinct title) titles from catalog group by 1, 2)
-select a.director, len(list_intersect(a.titles, b.titles)) n_shared,
+select a.director, a."year" year_a, b."year" year_b, len(list_intersect(a.titles, b.titles)) n_shared,
        len(list_distinct(list_concat(a.titles, b.titles))) n_united
-from s a join s b on a.director = b.director and a."year" = 1995 and b."year" = 1996""")
+from s a join s b on a.director = b.director and a."year" < b."year" """)
 def set2(spark, folder):
-    sets = tb.catalog(spark, folder).groupBy("director").agg(
-        F.collect_set(F.when(F.col("year") == 1995, F.col("title"))).alias("a"),
-        F.collect_set(F.when(F.col("year") == 1996, F.col("title"))).alias("b"),
-    ).filter((F.size("a") > 0) & (F.size("b") > 0))
-    return sets.select(
-        "director", F.size(F.array_intersect("a", "b")).cast("long").alias("n_shared"),
-        F.size(F.array_union("a", "b")).cast("long").alias("n_united"),
+    """Shared and united titles of every two years of a director, by counts: no set is ever collected."""
+    titles = materialise(tb.catalog(spark, folder).select("director", "year", "title").distinct(), "titles")
+    sizes = titles.groupBy("director", "year").agg(F.count("*").alias("n"))
+    earlier, later = (
+        sizes.select("director", F.col("year").alias(f"year_{side}"), F.col("n").alias(f"n_{side}")) for side in "ab"
+    )
+    both = (
+        titles.withColumnRenamed("year", "year_a")
+        .join(titles.withColumnRenamed("year", "year_b"), ["director", "title"]).filter("year_a < year_b")
+        .groupBy("director", "year_a", "year_b").agg(F.count("*").alias("n_shared"))
+    )
+    pairs = earlier.join(later, "director").filter("year_a < year_b")
+    shared = F.coalesce("n_shared", F.lit(0)).cast("long")
+    return pairs.join(both, ["director", "year_a", "year_b"], "left").select(
+        "director", "year_a", "year_b", shared.alias("n_shared"),
+        (F.col("n_a") + F.col("n_b") - shared).alias("n_united"),
     )
 
 
@@ -316,15 +325,18 @@ def run_configs(spark, folder):
     ).withColumn("run", F.col("data"))
 
 
-@register("jn10_settings_table", """with c as (select source, count(*) epochs, count(distinct lang) embed_dim
+SOURCES = [f"src{i}" for i in range(20)]
+
+
+@register("jn10_settings_table", f"""with c as (select source, count(*) epochs, count(distinct lang) embed_dim
   from documents group by 1),
-s as (select source, unnest([{'k': 'data', 'v': source}, {'k': 'text_model', 'v': '-'}, {'k': 'finetune_text', 'v': '-'},
-  {'k': 'embed_dim', 'v': embed_dim::varchar}, {'k': 'hidden_dim', 'v': '-'}, {'k': 'modality_dropout', 'v': '-'},
-  {'k': 'jaccard', 'v': '-'}, {'k': 'epochs', 'v': epochs::varchar}, {'k': 'seed', 'v': '42'}]) e from c)
-select e.k setting, max(e.v) filter (source = 'src1') src1, max(e.v) filter (source = 'src2') src2
+s as (select source, unnest([{{'k': 'data', 'v': source}}, {{'k': 'text_model', 'v': '-'}}, {{'k': 'finetune_text', 'v': '-'}},
+  {{'k': 'embed_dim', 'v': embed_dim::varchar}}, {{'k': 'hidden_dim', 'v': '-'}}, {{'k': 'modality_dropout', 'v': '-'}},
+  {{'k': 'jaccard', 'v': '-'}}, {{'k': 'epochs', 'v': epochs::varchar}}, {{'k': 'seed', 'v': '42'}}]) e from c)
+select e.k setting, {', '.join(f"max(e.v) filter (source = '{run}') {run}" for run in SOURCES)}
 from s group by 1""")
 def jn10(spark, folder):
-    return comparison.settings_table(run_configs(spark, folder), fixed.COMPARED_SETTINGS, ["src1", "src2"])
+    return comparison.settings_table(run_configs(spark, folder), fixed.COMPARED_SETTINGS, SOURCES)
 
 
 @register("agg12_comparable", "select count(distinct source) = 1 comparable from documents")

@@ -10,7 +10,7 @@ from affinium.operators import collecting
 from affinium.operators.dedupe import first_per_key
 from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
-from affinium.session import fresh_path
+from affinium.session import fresh_path, materialise
 from affinium.sources import catalog as cat
 from affinium.sources import tables as tb
 from affinium.sources.store import append_snapshot, write_records
@@ -33,6 +33,21 @@ def src1(spark, folder):
     return clean_columns(cat.load_catalog(spark, path))
 
 
+@register("src1_row_ids", f"""with {q.CATALOG} select row_number() over (order by row_id) - 1 row_id, title, "year"
+from catalog""")
+def src1_row_ids(spark, folder):
+    """Catalog of a dump in several files, in order, whose rows bring no id of their own."""
+    path = fresh_path(spark, "dump") + ".csv"
+    clean = materialise(tb.catalog(spark, folder), "catalog")
+    named = clean.select(
+        "row_id", "title", "year", F.array_join("genres", ",").alias("genres"), "description"
+    )
+    named.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id").write.csv(
+        path, header=True, escape='"'
+    )
+    return cat.load_catalog(spark, path).select("row_id", "title", "year")
+
+
 @register("src2_dataset_alias", "select p_partkey row_id, p_name as \"name\" from part")
 def src2(spark, folder):
     path = cat.resolve_dataset("small", folder, {"small": "part.parquet"})
@@ -220,9 +235,9 @@ def prj13(spark, folder):
 
 
 @register("prj14_page_url", "select doc_id, 'https://en.wikipedia.org/wiki/' || "
-          "replace(url_encode(substring(text, 1, 60) || ' a/b*~'), '%2F', '/') url from documents")
+          "replace(url_encode(text || ' a/b*~'), '%2F', '/') url from documents")
 def prj14(spark, folder):
-    title = F.concat(F.substring("text", 1, 60), F.lit(" a/b*~"))
+    title = F.concat("text", F.lit(" a/b*~"))
     return tb.table(spark, folder, "documents").select("doc_id", tx.page_url(title).alias("url"))
 
 

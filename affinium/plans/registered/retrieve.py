@@ -138,7 +138,7 @@ def top4(spark, folder):
 def top4_grid(spark, folder):
     """The same ranking by the path for query tables beyond the broadcast limit."""
     items = tb.labelled_vectors(spark, folder)
-    ranked = topk.rank_catalog(queries_of(items), items, 10, query_limit=0, block_rows=256)
+    ranked = topk.rank_catalog(queries_of(items), items, 10, block_rows=256)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 

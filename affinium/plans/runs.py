@@ -17,7 +17,7 @@ from affinium.operators.metrics import metrics_at_k
 from affinium.operators.ordering import split_catalog
 from affinium.operators.projection import embedding_map, result_map
 from affinium.operators.relevance import mark_hits, relevant_counts
-from affinium.operators.textvec import HashedTextEncoder, PrecomputedEncoder, TextEncoder
+from affinium.operators.textvec import HashedTextEncoder, PrecomputedEncoder, TextEncoder, TfidfTextEncoder
 from affinium.session import fresh_path, materialise
 from affinium.sources.catalog import load_catalog
 from affinium.sources.features import FeatureStore
@@ -33,6 +33,25 @@ def with_text(df: DataFrame, encoder: TextEncoder, store_path: str) -> DataFrame
     return FeatureStore(df.sparkSession, store_path).features(df, encoder)
 
 
+def bound_encoder(folder: Run, encoder: TextEncoder | None) -> TextEncoder:
+    """The text encoder a run was trained with.
+
+    Hashed and tf-idf encoders are rebuilt from the run; any other must be
+    passed, and one with another name is refused.
+    """
+    name, dim = folder.config()["text_model"], folder.config()["text_dim"]
+    if encoder is None:
+        if name == HashedTextEncoder(dim).name:
+            return HashedTextEncoder(dim)
+        if name.startswith("tfidf-"):
+            encoder = TfidfTextEncoder(folder.text_weights())
+        else:
+            raise ValueError(f"run '{folder.path}' uses the text model {name!r}: pass its encoder")
+    if (encoder.name, encoder.dim) != (name, dim):
+        raise ValueError(f"run '{folder.path}' uses the text model {name!r} ({dim}), not {encoder.name!r}")
+    return encoder
+
+
 def train(
     spark: SparkSession,
     data: str | DataFrame,
@@ -61,7 +80,7 @@ def train(
 
     def inputs(name: str) -> DataFrame:
         items = with_text(folder.split(name), encoder, f"{run}/features")
-        return materialise(encode(items, state, sizes), f"inputs-{name}")
+        return materialise(encode(items, state), f"inputs-{name}")
 
     start = FusionModel.create(encoder.dim, sizes, embed_dim, seed)
     model, history = train_fusion(
@@ -69,6 +88,8 @@ def train(
         modality_dropout, jaccard, seed, rounds=rounds,
     )
     folder.save_model(model)
+    if isinstance(encoder, TfidfTextEncoder):
+        folder.save_text_weights(encoder.weights)
     folder.save_config(
         {
             "data": data if isinstance(data, str) else "table",
@@ -98,9 +119,8 @@ def evaluate_variants(variants: dict[str, DataFrame], items: DataFrame,
 def evaluate(spark: SparkSession, run: str, encoder: TextEncoder | None = None,
              base_encoder: TextEncoder | None = None) -> DataFrame:
     """Score baseline, text-only and full embeddings on the saved test split."""
-    encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
-    folder.config()
+    encoder = bound_encoder(folder, encoder)
     model, test = folder.model(), folder.split("test")
     inputs = materialise(encode(with_text(test, encoder, f"{run}/features"), folder.encoder()), "inputs-test")
     base = inputs
@@ -118,8 +138,8 @@ def evaluate(spark: SparkSession, run: str, encoder: TextEncoder | None = None,
 def build_index(spark: SparkSession, run: str, data: str | DataFrame | None = None,
                 encoder: TextEncoder | None = None) -> DataFrame:
     """Embed the whole catalog once; without `data` the run's own catalog is used."""
-    encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
+    encoder = bound_encoder(folder, encoder)
     config = folder.config()
     if data is None:
         catalog = folder.splits().drop("split")
@@ -135,16 +155,16 @@ def similar(spark: SparkSession, run: str, title: str, k: int = 10) -> DataFrame
     """Items most similar to a known title."""
     folder = Run(spark, run)
     index = folder.index()
-    check_dimension(index, folder.config()["embed_dim"])
+    check_dimension(folder.index_info(), folder.config()["embed_dim"])
     return topk.present(topk.similar_to_row(index, find_item(index, title), k))
 
 
 def search(spark: SparkSession, run: str, text: str, k: int = 10, encoder: TextEncoder | None = None) -> DataFrame:
     """Items matching a free text: text-only query against full embeddings."""
-    encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
+    encoder = bound_encoder(folder, encoder)
     index = folder.index()
-    check_dimension(index, folder.config()["embed_dim"])
+    check_dimension(folder.index_info(), folder.config()["embed_dim"])
     query = spark.createDataFrame([(text,)], "description string")
     encoded = embed_text(encoder.transform(query, "description", "text"), folder.model())
     vector = topk.query_vector(encoded.first()["embedding"])
@@ -154,8 +174,9 @@ def search(spark: SparkSession, run: str, text: str, k: int = 10, encoder: TextE
 def search_many(spark: SparkSession, run: str, texts: DataFrame, k: int = 10,
                 encoder: TextEncoder | None = None) -> DataFrame:
     """Free-text search for a table of queries `(q_id, description)`."""
-    encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
+    encoder = bound_encoder(folder, encoder)
+    check_dimension(folder.index_info(), folder.config()["embed_dim"])
     encoded = embed_text(encoder.transform(texts, "description", "text"), folder.model())
     queries = materialise(encoded.select("q_id", "embedding"), "queries")
     return topk.rank_catalog(queries, folder.index(), k, exclude_self=False)
@@ -213,7 +234,7 @@ def map_index(spark: SparkSession, run: str, n: int = 300, seed: int = 0) -> Dat
     """Three-dimensional plot table of the stored embeddings."""
     folder = Run(spark, run)
     index = folder.index()
-    check_dimension(index, folder.config()["embed_dim"], at_least=3)
+    check_dimension(folder.index_info(), folder.config()["embed_dim"], at_least=3)
     return embedding_map(index, n, seed)
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -42,6 +43,11 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing at its path yet."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 _local_folders: dict[str, str] = {}
 
 

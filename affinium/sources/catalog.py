@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from affinium import fixed
 from affinium.functions import text as tx
 from affinium.operators.dedupe import first_per_key
-from affinium.session import materialise
+from affinium.session import is_missing, materialise
 
 CATALOG_SCHEMA = T.StructType(
     [
@@ -30,9 +30,6 @@ CATALOG_SCHEMA = T.StructType(
     ]
 )
 
-# Longest table of file blocks that is broadcast.
-BLOCK_BROADCAST_LIMIT = 100_000
-
 # Short names of the four data sets, relative to a data folder.
 DATASETS = {
     "small": "small.csv",
@@ -65,15 +62,20 @@ def resolve_headers(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Raw catalog rows from CSV (all text), JSON lines or Parquet, by suffix."""
+def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Raw catalog rows from CSV (all text), JSON lines or Parquet, by suffix.
+
+    Descriptions may hold line breaks, so each CSV file is read by one task:
+    write a large dump as many files. A dump without line breaks inside
+    quotes is read in blocks with multi_line off.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind in ("json", "jsonl"):
         return spark.read.option("primitivesAsString", True).json(path)
     return spark.read.csv(
-        path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8"
+        path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=False, encoding="UTF-8"
     )
 
 
@@ -81,9 +83,9 @@ def with_row_ids(raw: DataFrame) -> DataFrame:
     """Dense row ids in file order for a freshly read file source.
 
     Every (file, block) is read in order by one task, so a row's id is the
-    number of rows in earlier blocks plus its position in its own block. Only
-    the per-block counts meet in one place, never the rows. A block table too
-    long to broadcast is joined by shuffle, with one block's rows per key.
+    number of rows in earlier blocks plus its position in its own block. The
+    tagged rows are written once, and both counts and ids come from what was
+    written: however the scan is planned, no row can get lost or share an id.
     """
     tagged = raw.select(
         "*",
@@ -91,20 +93,30 @@ def with_row_ids(raw: DataFrame) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
+    stored = materialise(tagged, "tagged")
     block = ["_file", "_block"]
     earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy(*block)
+        stored.groupBy(*block)
         .agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
         .select(*block, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    offsets = materialise(offsets, "blocks")
-    few = offsets.count() <= BLOCK_BROADCAST_LIMIT
-    numbered = tagged.join(F.broadcast(offsets) if few else offsets, block)
+    numbered = stored.join(offsets, block)
     row_id = (F.col("_before") + F.col("_seq") - F.col("_first")).alias("row_id")
     return numbered.select(row_id, *[F.col(f"`{name}`") for name in raw.columns])
 
 
+def checked_row_ids(raw: DataFrame) -> DataFrame:
+    """Rows that bring their own `row_id`; raises unless the ids are whole numbers and all differ."""
+    number = F.expr("try_cast(row_id as bigint)")
+    found = raw.agg(
+        F.count("*").alias("n"), F.count(number).alias("numbers"), F.count_distinct(number).alias("different")
+    ).first()
+    if not found["n"] == found["numbers"] == found["different"]:
+        raise ValueError(f"row_id must be a different whole number in every row: {found.asDict()}")
+    return raw
+
+
 def _number(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, T.NumericType):
         return tx.finite(F.col(f"`{name}`"))
@@ -172,10 +184,10 @@ def normalise(raw: DataFrame) -> DataFrame:
     return first_per_key(valid, ["title", "year"], ["row_id"])
 
 
-def load_catalog(spark: SparkSession, path: str) -> DataFrame:
+def load_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Any supported catalog file or folder to the unified schema."""
-    raw = read_table(spark, path)
-    return normalise(raw if "row_id" in raw.columns else with_row_ids(raw))
+    raw = read_table(spark, path, multi_line)
+    return normalise(checked_row_ids(raw) if "row_id" in raw.columns else with_row_ids(raw))
 
 
 def with_any_description(raw: DataFrame, column: str = "Description") -> DataFrame:
@@ -185,10 +197,12 @@ def with_any_description(raw: DataFrame, column: str = "Description") -> DataFra
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
-    """Titles of a CSV as a frame; unreadable input gives no rows."""
+    """Titles of a CSV as a frame; a missing file gives no rows."""
     empty = spark.createDataFrame([], "Title string")
     try:
         table = read_table(spark, path)
-    except AnalysisException:  # a missing list means "nothing requested"
-        return empty
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        return empty  # a missing list means "nothing requested"
     return table.select("Title") if "Title" in table.columns else empty

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from affinium.functions import text as tx
 from affinium.operators.textvec import TextEncoder
+from affinium.session import is_missing
+
 
 class FeatureStore:
     """Parquet table `(text_key, vector)` per model; a text is encoded once."""
@@ -23,16 +25,22 @@ class FeatureStore:
         folder = self._folder(model)
         schema = "text_key string, vector array<float>"
         try:
-            return self.spark.read.schema(schema).parquet(folder)
-        except AnalysisException:
+            return self.spark.read.schema(schema).parquet(folder).groupBy("text_key").agg(
+                # Overlapping fills may have stored a text more than once.
+                F.min("vector").alias("vector")
+            )
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def misses(self, df: DataFrame, encoder: TextEncoder, text: str = "description") -> DataFrame:
         """Distinct texts without a stored vector: `(text_key, text)`."""
         keyed = df.select(tx.text_key(encoder.name, F.coalesce(text, F.lit(""))).alias("text_key"),
                           F.coalesce(text, F.lit("")).alias("text"))
-        absent = keyed.join(self.read(encoder.name).select("text_key"), "text_key", "left_anti")
-        return absent.groupBy("text_key").agg(F.first("text").alias("text"))
+        # Copies of one text collapse before they meet the store.
+        texts = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+        return texts.join(self.read(encoder.name).select("text_key"), "text_key", "left_anti")
 
     def fill(self, df: DataFrame, encoder: TextEncoder, text: str = "description") -> None:
         """Encode and append whatever is missing."""

@@ -146,7 +146,9 @@ def page_records(requests: DataFrame, pages: DataFrame, claims: DataFrame, label
     The first existing page decides; without readable claims the record is
     dropped and no other page is tried.
     """
-    facts = choose_pages(requests, pages).join(claims.dropDuplicates(["item"]), "item")
+    # Of several landed claims of one item the smallest counts, whatever order they were read in.
+    only = claims.groupBy("item").agg(F.min(F.struct("time", "directors", "genres")).alias("c")).select("item", "c.*")
+    facts = choose_pages(requests, pages).join(only, "item")
     named = with_labels(facts, "requested", ["directors", "genres"], labels)
     return named.select(
         "requested",

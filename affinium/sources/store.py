@@ -12,6 +12,7 @@ from affinium import fixed
 from affinium.functions import text as tx
 from affinium.operators.encoding import EncoderState
 from affinium.operators.fusion import FusionModel
+from affinium.session import is_missing
 
 SPLITS = ("train", "val", "test")
 
@@ -26,6 +27,8 @@ class Run:
         try:
             return self.spark.read.parquet(f"{self.path}/{name}")
         except AnalysisException as missing:
+            if not is_missing(missing):
+                raise
             raise FileNotFoundError(f"no {name} in run '{self.path}': {advice} first") from missing
 
     # splits -------------------------------------------------------------
@@ -56,6 +59,14 @@ class Run:
     def model(self) -> FusionModel:
         return FusionModel.from_frame(self._read("model", "train"))
 
+    def save_text_weights(self, weights: list[float]) -> None:
+        """Fitted weights of a tf-idf encoder."""
+        frame = self.spark.createDataFrame([(list(map(float, weights)),)], "weights array<double>")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/text_weights")
+
+    def text_weights(self) -> list[float]:
+        return list(self._read("text_weights", "train").first()["weights"])
+
     # config ---------------------------------------------------------------
     def save_config(self, config: dict) -> None:
         one = self.spark.createDataFrame([(json.dumps(config),)], "value string")
@@ -65,6 +76,8 @@ class Run:
         try:
             return json.loads(self.spark.read.text(f"{self.path}/config").first()["value"])
         except AnalysisException as missing:
+            if not is_missing(missing):
+                raise
             raise FileNotFoundError(f"no trained run at '{self.path}': train first") from missing
 
     def config_frame(self) -> DataFrame:
@@ -74,7 +87,16 @@ class Run:
 
     # index ----------------------------------------------------------------
     def save_index(self, index: DataFrame) -> None:
+        """Index table, and beside it one row of its size and dimensions."""
         index.write.mode("overwrite").parquet(f"{self.path}/index")
+        self.index().agg(
+            F.count("*").alias("n_rows"), F.min(F.size("embedding")).alias("least_dim"),
+            F.max(F.size("embedding")).alias("most_dim"),
+        ).write.mode("overwrite").parquet(f"{self.path}/index_info")
+
+    def index_info(self) -> dict:
+        """Rows and dimensions as counted when the index was built."""
+        return self._read("index_info", "build the index").first().asDict()
 
     def index(self) -> DataFrame:
         """Catalog rows with their embedding; an index without `cast` gets empty lists."""

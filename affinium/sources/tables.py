@@ -95,5 +95,5 @@ def text_catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def user_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").filter("role = 'user'")
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations")

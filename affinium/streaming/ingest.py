@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from affinium.operators.collecting import known_titles, new_records
+from affinium.session import is_missing
 from affinium.sources.landed import film_records
 
 LANDED_SCHEMA = "seq long, requested string, body string"
@@ -25,7 +26,9 @@ def read_landed(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 def collected(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
         return spark.read.parquet(folder)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         return None
 
 

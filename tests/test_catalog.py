@@ -102,6 +102,33 @@ def test_row_ids_follow_file_order(spark, tmp_path):
     assert [int(row["Seq"]) for row in rows] == [p * 1000 + at for p in range(3) for at in range(400 + 100 * p)]
 
 
+def test_row_ids_survive_another_plan(spark, tmp_path):
+    """Ids come from what was stored, so a scan that is split differently later changes nothing."""
+    folder = tmp_path / "again.csv"
+    folder.mkdir()
+    for part in range(4):
+        write_csv(folder / f"part-{part}.csv", ["Title"], [[f"t{part}-{at}"] for at in range(500)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        numbered = cat.with_row_ids(spark.read.csv(str(folder), header=True))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        rows = numbered.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(row["row_id"] for row in rows) == list(range(2000))
+    assert [r["Title"] for r in sorted(rows)] == [f"t{part}-{at}" for part in range(4) for at in range(500)]
+
+
+def test_given_row_ids_are_checked(spark, tmp_path):
+    header = ["row_id", "Title", "Genre", "Description"]
+    for ids in ([1, 1], [1, "x"], [1, ""]):
+        path = write_csv(tmp_path / f"ids-{ids[1]}.csv", header, [[i, "t", "g", "d"] for i in ids])
+        with pytest.raises(ValueError, match="row_id"):
+            cat.load_catalog(spark, path)
+
+
 def test_alias_and_titles(spark, tmp_path):
     path = write_csv(tmp_path / "small.csv", ["Title", "Year"], [["A", 1], ["B", 2]])
     assert cat.resolve_dataset("small", str(tmp_path)) == path

@@ -98,3 +98,13 @@ def test_titles_named_none_survive(spark, tmp_path):
     run.save_index(spark.createDataFrame([(0, "None", [1.0])], "row_id long, title string, embedding array<float>"))
     row = run.index().select("title", F.size("cast").alias("n")).first()
     assert tuple(row) == ("None", 0)
+
+
+def test_text_model_is_bound_to_the_run(spark, trained):
+    with pytest.raises(ValueError, match="text model"):
+        runs.search(spark, trained[0], "the thing", 4, HashedTextEncoder(64))
+    with pytest.raises(ValueError, match="text model"):
+        runs.build_index(spark, trained[0], encoder=HashedTextEncoder(31))
+    # Without an encoder the run's own is rebuilt.
+    given = runs.search(spark, trained[0], "the thing", 4, TEXT).collect()
+    assert runs.search(spark, trained[0], "the thing", 4).collect() == given

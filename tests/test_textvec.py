@@ -88,8 +88,19 @@ def test_baseline(spark):
 
 def test_baseline_with_precomputed_vectors(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "k long, v array<float>")
-    out = PrecomputedEncoder(vectors, "k", "v", 2).transform(frame(spark), "description", "text")
-    assert out.select(F.max(vec.norm(F.col("text")))).first()[0] == 1.0
+    out = PrecomputedEncoder(vectors, "k", "v", 2, drop_absent=True).transform(frame(spark), "description", "text")
+    assert out.count() == 2 and out.select(F.max(vec.norm(F.col("text")))).first()[0] == 1.0
+    with pytest.raises(Exception, match="no vector for item"):
+        PrecomputedEncoder(vectors, "k", "v", 2).transform(frame(spark), "description", "text").collect()
+
+
+def test_overlapping_fills_keep_row_counts(spark, tmp_path):
+    store, encoder, df = FeatureStore(spark, str(tmp_path / "store")), HashedTextEncoder(8), frame(spark)
+    one = store.misses(df, encoder)
+    encoded = encoder.transform(one, "text", "vector").select("text_key", "vector")
+    for _ in range(2):
+        encoded.write.mode("append").parquet(store._folder(encoder.name))
+    assert store.features(df, encoder).count() == df.count()
 
 
 def test_baseline_map(spark):

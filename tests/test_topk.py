@@ -38,22 +38,22 @@ def copies(rng, n=300, dim=6):
     return rows
 
 
-@pytest.mark.parametrize("query_limit", [4096, 0])
+@pytest.mark.parametrize("block_rows", [None, 64])
 @pytest.mark.parametrize("exclude_self", [True, False])
-def test_rank_catalog(spark, query_limit, exclude_self):
+def test_rank_catalog(spark, block_rows, exclude_self):
     rows = copies(np.random.default_rng(1))
     items = frame(spark, rows).repartition(5)
     queries = items.select(F.col("row_id").alias("q_id"), "embedding")
-    got = topk.rank_catalog(queries, items, 7, exclude_self, query_limit=query_limit, block_rows=64)
+    got = topk.rank_catalog(queries, items, 7, exclude_self, block_rows=block_rows)
     table = {i: row.astype(np.float64) for i, row in enumerate(rows)}
     assert ranked(got) == brute(table, table, 7, exclude_self)
 
 
-@pytest.mark.parametrize("query_limit", [4096, 0])
-def test_k_beyond_catalog(spark, query_limit):
+@pytest.mark.parametrize("block_rows", [None, 64])
+def test_k_beyond_catalog(spark, block_rows):
     items = frame(spark, [[1, 0], [0, 1], [0, 0]])
     queries = items.select(F.col("row_id").alias("q_id"), "embedding")
-    got = ranked(topk.rank_catalog(queries, items, 10, query_limit=query_limit))
+    got = ranked(topk.rank_catalog(queries, items, 10, block_rows=block_rows))
     assert got == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
 
 
@@ -87,8 +87,11 @@ def test_check_index(spark):
         lookup.check_index(good, catalog, 3)
     with pytest.raises(RuntimeError, match="stale"):
         lookup.check_index(frame(spark, [[1, 0], [0, 1]], [0, 5]), catalog, 2)
-    lookup.check_dimension(good, 2)
+    info = {"n_rows": 2, "least_dim": 2, "most_dim": 2}
+    lookup.check_dimension(info, 2)
     with pytest.raises(RuntimeError, match="stale"):
-        lookup.check_dimension(good, 3)
+        lookup.check_dimension(info, 3)
+    with pytest.raises(RuntimeError, match="stale"):
+        lookup.check_dimension(info | {"most_dim": 3}, 2)
     with pytest.raises(RuntimeError, match="at least 3"):
-        lookup.check_dimension(good, 2, at_least=3)
+        lookup.check_dimension(info, 2, at_least=3)
