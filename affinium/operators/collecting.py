@@ -15,8 +15,11 @@ from affinium.session import materialise
 
 def known_titles(*tables: DataFrame) -> DataFrame:
     """Lower-cased distinct titles of results and ignore lists: `(known)`."""
-    columns = [t.select(F.lower(F.col(t.columns[0])).alias("known")) for t in tables]
-    return reduce(DataFrame.unionByName, columns).distinct()
+    return reduce(DataFrame.unionByName, [_lowered(t) for t in tables]).distinct()
+
+
+def _lowered(titles: DataFrame) -> DataFrame:
+    return titles.select(F.lower(F.col(titles.columns[0])).alias("known"))
 
 
 def without_known(df: DataFrame, title: str, known: DataFrame) -> DataFrame:

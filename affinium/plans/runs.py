@@ -18,7 +18,7 @@ from affinium.operators.ordering import split_catalog
 from affinium.operators.projection import embedding_map, result_map
 from affinium.operators.relevance import mark_hits, relevant_counts
 from affinium.operators.textvec import HashedTextEncoder, PrecomputedEncoder, TextEncoder, TfidfTextEncoder
-from affinium.session import fresh_path, materialise
+from affinium.session import fresh_path, materialise, scope, tidy
 from affinium.sources.catalog import load_catalog
 from affinium.sources.features import FeatureStore
 from affinium.sources.store import Run, append_snapshot, write_records
@@ -52,6 +52,7 @@ def bound_encoder(folder: Run, encoder: TextEncoder | None) -> TextEncoder:
     return encoder
 
 
+@tidy
 def train(
     spark: SparkSession,
     data: str | DataFrame,
@@ -116,6 +117,7 @@ def evaluate_variants(variants: dict[str, DataFrame], items: DataFrame,
     return metrics_at_k(hits, relevant, ks, by=["variant"])
 
 
+@tidy
 def evaluate(spark: SparkSession, run: str, encoder: TextEncoder | None = None,
              base_encoder: TextEncoder | None = None) -> DataFrame:
     """Score baseline, text-only and full embeddings on the saved test split."""
@@ -135,6 +137,7 @@ def evaluate(spark: SparkSession, run: str, encoder: TextEncoder | None = None,
     return folder.evaluation()
 
 
+@tidy
 def build_index(spark: SparkSession, run: str, data: str | DataFrame | None = None,
                 encoder: TextEncoder | None = None) -> DataFrame:
     """Embed the whole catalog once; without `data` the run's own catalog is used."""
@@ -244,8 +247,9 @@ def collect(requests: DataFrame, records: DataFrame, known: DataFrame, target: s
 
     `records(seq, requested, Title, ...)` are parsed responses to `requests`.
     """
-    wanted = records.join(requests.select("requested").distinct(), "requested", "left_semi")
-    fresh = collecting.new_records(wanted, known).drop("requested")
-    if snapshots:
-        append_snapshot(fresh, snapshots)
-    return write_records(collecting.clean_records(fresh).drop("seq"), target, kind)
+    with scope(requests.sparkSession):
+        wanted = records.join(requests.select("requested").distinct(), "requested", "left_semi")
+        fresh = collecting.new_records(wanted, known).drop("requested")
+        if snapshots:
+            append_snapshot(fresh, snapshots)
+        return write_records(collecting.clean_records(fresh).drop("seq"), target, kind)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -68,11 +71,50 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+# Open scopes of each thread: a streaming batch runs in a thread of its own.
+_threads = threading.local()
+
+
+def _open_scopes() -> list[list[str]]:
+    return _threads.__dict__.setdefault("scopes", [])
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """New, unused path for one intermediate table."""
     return f"{shared_folder(spark)}/affinium/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Delete the tables that `materialise` writes inside, at the end.
+
+    For work whose result is written before the scope ends; a lazy result
+    must not leave it.
+    """
+    written: list[str] = []
+    scopes = _open_scopes()
+    scopes.append(written)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name in written:
+            path = hadoop(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(command):
+    """Run a command `(spark, ...)` that writes its result in a scope of its own."""
+
+    @wraps(command)
+    def run(spark: SparkSession, *args, **options):
+        with scope(spark):
+            return command(spark, *args, **options)
+
+    return run
+
+
 def materialise(df, name: str, partition_by: list[str] | None = None):
     """Write a frame once to the shared folder and read it back.
 
@@ -80,6 +122,8 @@ def materialise(df, name: str, partition_by: list[str] | None = None):
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _open_scopes():
+        _open_scopes()[-1].append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from affinium.operators.collecting import known_titles, new_records
-from affinium.session import is_missing
+from affinium.session import is_missing, scope
 from affinium.sources.landed import film_records
 
 LANDED_SCHEMA = "seq long, requested string, body string"
@@ -55,8 +55,9 @@ def ingest(
             tables += [earlier.select("requested"), earlier.select("Title")]
         if not tables:
             tables = [spark.createDataFrame([], "known string")]
-        fresh = new_records(film_records(batch), known_titles(*tables))
-        fresh.write.mode("overwrite").parquet(f"{target}/{own}")
+        with scope(spark):
+            fresh = new_records(film_records(batch), known_titles(*tables))
+            fresh.write.mode("overwrite").parquet(f"{target}/{own}")
 
     return (
         landed.writeStream.foreachBatch(add)
