@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -45,6 +46,35 @@ class HashedTextEncoder:
         return scaled.withColumn(target, vector_to_array("_unit", "float32")).drop("_words", "_terms", "_unit")
 
 
+class Md5TextEncoder:
+    """Frozen encoder: term frequencies in md5 buckets, unit length.
+
+    Any engine with md5 can repeat it. Terms and buckets are made on the JVM,
+    only the counting of bucket numbers is a batch function.
+    """
+
+    def __init__(self, dim: int = TEXT_DIM):
+        self.dim, self.name = dim, f"md5-terms-{dim}"
+
+    def transform(self, df: DataFrame, text: str, target: str) -> DataFrame:
+        dim = self.dim
+        parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+        words = F.filter(parts, lambda word: word != "")
+        buckets = F.transform(
+            words, lambda word: F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % dim
+        )
+
+        @F.arrow_udf("array<float>")
+        def count(lists: pa.Array) -> pa.Array:
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            cells = np.repeat(np.arange(len(sizes)), sizes) * dim + lists.flatten().to_numpy(zero_copy_only=False)
+            counts = np.bincount(cells.astype(np.int64), minlength=len(sizes) * dim).reshape(len(sizes), dim)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            return vector_column((counts / np.maximum(norms, 1)).astype(np.float32), pa.float32())
+
+        return df.withColumn(target, count(buckets))
+
+
 class TfidfTextEncoder(HashedTextEncoder):
     """Hashed terms weighted by inverse document frequency, fitted on one corpus.
 

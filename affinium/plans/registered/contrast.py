@@ -10,7 +10,7 @@ from affinium.functions import vectors as vec
 from affinium.operators import contrastive as con
 from affinium.operators import ordering
 from affinium.operators.fusion import FusionModel, embed, train_fusion
-from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, PrecomputedEncoder, TfidfTextEncoder
+from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, Md5TextEncoder, PrecomputedEncoder, TfidfTextEncoder
 from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
 from affinium.plans.registered.encode import encoded
@@ -99,6 +99,17 @@ def ml1_precomputed(spark, folder):
     return items.select("row_id", F.transform("text", lambda x: F.round(x.cast("double"), 5)).alias("text"))
 
 
+@register("ml1_md5_terms", f"""
+with b as (select doc_id, list_transform(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+  lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 64) b from documents),
+c as (select doc_id, list_transform(range(64), lambda i: len(list_filter(b, lambda y: y = i))) c from b),
+n as (select *, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1) n from c)
+select doc_id row_id, list_transform(c, lambda x: round((x / n)::float::double, 6)) text from n""")
+def ml1_md5(spark, folder):
+    items = Md5TextEncoder(64).transform(tb.text_catalog(spark, folder), "description", "text")
+    return items.select("row_id", F.transform("text", lambda x: F.round(x.cast("double"), 6)).alias("text"))
+
+
 @register("ml1_hashed_terms")
 def ml1_hashed(spark, folder):
     return HashedTextEncoder(64).transform(tb.text_catalog(spark, folder), "description", "text").select("row_id", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinium.operators import collecting
-from affinium.operators.textvec import HashedTextEncoder
+from affinium.operators.textvec import HashedTextEncoder, Md5TextEncoder
 from affinium.plans import runs
 from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
@@ -67,10 +67,19 @@ def top2(spark, folder):
     return runs.search_many(spark, trained(spark, folder), texts, 10, TEXT)
 
 
-@register("run_baseline")
+@register("run_baseline", f"""
+with t as (select doc_id, text from documents union all select -1, 'the thing on the other hand'),
+b as (select doc_id, list_transform(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+  lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 64) b from t),
+c as (select doc_id, list_transform(range(64), lambda i: len(list_filter(b, lambda y: y = i))) c from b),
+n as (select *, greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1) n from c),
+v as (select doc_id, list_transform(c, lambda x: (x / n)::float::double) v from n)
+select doc_id row_id, 'doc ' || doc_id title,
+       round(list_cosine_similarity(v, (select v from v where doc_id = -1)), 9) score
+from v where doc_id >= 0 order by score desc, row_id limit 5""")
 def run_baseline(spark, folder):
     items = tb.text_catalog(spark, folder).withColumn("title", F.concat(F.lit("doc "), F.col("row_id")))
-    found = runs.baseline(items, "the thing on the other hand", 5, TEXT)
+    found = runs.baseline(items, "the thing on the other hand", 5, Md5TextEncoder(64))
     return found.select("row_id", "title", "score")
 
 

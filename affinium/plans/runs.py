@@ -17,7 +17,7 @@ from affinium.operators.metrics import metrics_at_k
 from affinium.operators.ordering import split_catalog
 from affinium.operators.projection import embedding_map, result_map
 from affinium.operators.relevance import mark_hits, relevant_counts
-from affinium.operators.textvec import HashedTextEncoder, PrecomputedEncoder, TextEncoder, TfidfTextEncoder
+from affinium.operators.textvec import HashedTextEncoder, Md5TextEncoder, PrecomputedEncoder, TextEncoder, TfidfTextEncoder
 from affinium.session import fresh_path, materialise, scope, tidy
 from affinium.sources.catalog import load_catalog
 from affinium.sources.features import FeatureStore
@@ -36,13 +36,15 @@ def with_text(df: DataFrame, encoder: TextEncoder, store_path: str) -> DataFrame
 def bound_encoder(folder: Run, encoder: TextEncoder | None) -> TextEncoder:
     """The text encoder a run was trained with.
 
-    Hashed and tf-idf encoders are rebuilt from the run; any other must be
+    Hashed, md5 and tf-idf encoders are rebuilt from the run; any other must be
     passed, and one with another name is refused.
     """
     name, dim = folder.config()["text_model"], folder.config()["text_dim"]
     if encoder is None:
         if name == HashedTextEncoder(dim).name:
             return HashedTextEncoder(dim)
+        if name == Md5TextEncoder(dim).name:
+            return Md5TextEncoder(dim)
         if name.startswith("tfidf-"):
             encoder = TfidfTextEncoder(folder.text_weights())
         else:
