@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinium.llm.registry import query, table
+from affinium.session import materialise
 
 # Turns whose order is settled in one task, and turns rendered into one text.
 BLOCK_TURNS = 1024
@@ -109,7 +110,8 @@ def render(hashed: DataFrame, kept: DataFrame) -> DataFrame:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Rendered maximal conversations; an empty table gives an empty result."""
-    hashed = prefix_hashes(turns)
+    # Three branches read the hashes, so they are written once.
+    hashed = materialise(prefix_hashes(turns), "chat-hashes")
     return render(hashed, maximal_conversations(hashed))
 
 
