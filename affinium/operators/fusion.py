@@ -21,6 +21,7 @@ from affinium import fixed
 from affinium.operators.arrow import key_runs, matrix, one_array, ragged, vector_column
 from affinium.operators.contrastive import by_batch, epoch_loss, info_nce, keep_flags, pair_weights
 from affinium.operators.ordering import assign_batches
+from affinium.session import materialise
 
 LISTS = {"genres": "genre_idx", "cast": "cast_idx"}
 IDS = {"director": "director_idx", "writer": "writer_idx"}
@@ -279,11 +280,21 @@ class AdamW:
             value -= self.lr * (mean / (1 - 0.9**self.step)) / rate
 
 
+def validation_batches(encoded: DataFrame, batch_size: int) -> DataFrame:
+    """The fixed batches of validation rows, the last partial one included, written once for all epochs."""
+    narrow = encoded.select("row_id", *INPUTS)
+    return materialise(assign_batches(narrow, "validation", 0, batch_size, drop_last=False), "validation")
+
+
 def validation_loss(encoded: DataFrame, model: FusionModel, temperature: float, jaccard: bool,
                     batch_size: int) -> float:
-    """Loss over all batches, the last partial one included, nothing dropped."""
-    batched = assign_batches(encoded, "validation", 0, batch_size, drop_last=False)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    """Loss over all rows, nothing dropped."""
+    return held_loss(validation_batches(encoded, batch_size), model, temperature, jaccard)
+
+
+def held_loss(batched: DataFrame, model: FusionModel, temperature: float, jaccard: bool) -> float:
+    """Loss over stored validation batches."""
+    shared = batched.sparkSession.sparkContext.broadcast(model)
     losses = fused_losses(batched, shared, temperature, jaccard)
     total = epoch_loss(losses).first()["loss"]
     shared.unpersist()
@@ -303,6 +314,7 @@ def train_fusion(
     seed: int = fixed.SEED,
     patience: int = fixed.PATIENCE,
     rounds: int = 4,
+    decay: float = fixed.WEIGHT_DECAY,
     report: Callable[[int, float, float], None] | None = None,
 ) -> tuple[FusionModel, list[tuple[int, float, float]]]:
     """Contrastive training with early stopping; returns the best model.
@@ -311,7 +323,8 @@ def train_fusion(
     An epoch shuffles the rows into batches once and takes `rounds` averaged
     steps, each over its share of the batches.
     """
-    optimizer = AdamW(model, lr)
+    optimizer = AdamW(model, lr, decay)
+    held = validation_batches(validation, batch_size)
     best, best_loss, waited, history = model.copy(), float("inf"), 0, []
     for epoch in range(1, epochs + 1):
         batched = assign_batches(train.select("row_id", *INPUTS), seed, epoch, batch_size)
@@ -324,7 +337,7 @@ def train_fusion(
                 optimizer.update(model, grad)
                 loss, items = loss + part_loss, items + part_items
         batched.unpersist()
-        val_loss = validation_loss(validation, model, temperature, jaccard, batch_size)
+        val_loss = held_loss(held, model, temperature, jaccard)
         history.append((epoch, loss / max(items, 1), val_loss))
         if report:
             report(*history[-1])

@@ -69,6 +69,9 @@ def train(
     jaccard: bool = False,
     seed: int = fixed.SEED,
     rounds: int = 4,
+    patience: int = fixed.PATIENCE,
+    decay: float = fixed.WEIGHT_DECAY,
+    cap: int = fixed.VOCABULARY_CAP,
 ) -> list[tuple[int, float, float]]:
     """Ingest, split, fit, encode, train; leaves a complete run folder."""
     encoder = encoder or HashedTextEncoder()
@@ -77,7 +80,7 @@ def train(
     catalog = load_catalog(spark, data) if isinstance(data, str) else data
     catalog = materialise(catalog, "catalog")
     folder.save_splits(split_catalog(catalog, seed))
-    folder.save_encoder(fit_encoder(folder.split("train")))
+    folder.save_encoder(fit_encoder(folder.split("train"), cap))
     state = folder.encoder()
     sizes = state.sizes()
 
@@ -88,7 +91,7 @@ def train(
     start = FusionModel.create(encoder.dim, sizes, embed_dim, seed)
     model, history = train_fusion(
         inputs("train"), inputs("val"), start, epochs, batch_size, lr, temperature,
-        modality_dropout, jaccard, seed, rounds=rounds,
+        modality_dropout, jaccard, seed, patience, rounds, decay=decay,
     )
     folder.save_model(model)
     if isinstance(encoder, TfidfTextEncoder):
