@@ -34,6 +34,9 @@ EXCEPTIONS_SIZE = 500
 LEAST_DOCUMENTS = 3
 LEAST_ODDS = 3.0
 SHORTEST, LONGEST = 5, 9
+# Terms that a task holds before it hands over their counts, and text bytes handled at once.
+HELD_TERMS = 100_000
+SLICE_BYTES = 1 << 20
 # Length, in words, that a very short text is taken to have besides its own.
 LENGTH_PRIOR = 20
 
@@ -134,23 +137,33 @@ def _contexts(lexicon: Lexicon, folded: str) -> set[str]:
 
 
 def _count(terms_of) -> object:
-    """Documents with each term, by label, totalled per task."""
+    """Documents with each term, by label, totalled before the shuffle as far as HELD_TERMS reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        for batch in small_slices(batches, "text"):
+        for batch in small_slices(batches, "text", SLICE_BYTES):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 counts[toxic].update(terms_of(fold(text)))
-        terms = list(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(terms), 50_000):
-            part = terms[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict(
-                {"term": part, "clean": [counts[0][t] for t in part], "toxic": [counts[1][t] for t in part]}
-            )
+            if len(counts[0]) + len(counts[1]) > HELD_TERMS:
+                yield _counted(counts)
+                counts = (Counter(), Counter())
+        yield _counted(counts)
 
     return run
 
 
+def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+    terms = list(counts[0].keys() | counts[1].keys())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(terms, pa.string()),
+            pa.array([counts[0][t] for t in terms], pa.int64()),
+            pa.array([counts[1][t] for t in terms], pa.int64()),
+        ],
+        ["term", "clean", "toxic"],
+    )
+
+
 def _totals(sample: DataFrame, terms_of) -> DataFrame:
     counted = sample.mapInArrow(_count(terms_of), "term string, clean long, toxic long")
     return counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -205,7 +218,7 @@ def learn(
     second = Lexicon({t: w for t, w in weights.items() if t not in exceptions}, exceptions)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "text"):
+        for batch in small_slices(batches, "text", SLICE_BYTES):
             folded = [fold(t) for t in batch.column("text").to_pylist()]
             values = np.array([second.features(f, second.matches(f)) for f in folded]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
@@ -231,7 +244,7 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, text: str = "text", p
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, "text"):
+        for batch in small_slices(batches, "text", SLICE_BYTES):
             scores, found_terms = [], []
             for body in batch.column("text").to_pylist():
                 folded = fold(body)
