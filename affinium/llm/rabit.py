@@ -6,11 +6,15 @@ factor. Code times a rotated query, divided by the factor, is an unbiased
 estimate of the cosine, with a bound on its error. Pairs whose upper bound
 misses the threshold are settled; the others are computed exactly.
 
-Which vectors meet is decided by the same codes: in each of several tables a
-vector lies in the bucket of some sampled bits. The number of bits grows with
-the logarithm of the number of vectors, so buckets keep their size, and the
-number of tables with it, so that a pair at the threshold meets with a
-probability of 1 - MISS. A pair counts in the first table where it meets.
+Which vectors meet is decided by hyperplanes: in each of several tables a
+vector lies in the bucket of its sides of some random hyperplanes. All planes
+are drawn independently, so a pair at cosine c agrees on b of them with the
+probability (1 - acos(c) / pi) ** b and tables miss it independently. (Bits of
+one code would not do: a pair with many differing bits fails in all tables
+together.) The number of bits grows with the logarithm of the number of
+vectors, so buckets keep their size, and the number of tables grows with the
+bits, so that a pair at the threshold meets with a probability of 1 - MISS
+however large the table is. A pair counts in the first table where it meets.
 Equal vectors are one class with a weight. Buckets larger than BLOCK are cut
 into blocks that meet two by two; a task gets two blocks and gives back
 counts and a spanning forest, never its pairs.
@@ -61,17 +65,29 @@ def shape_of(vectors: int, cosine: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
 
 
-@lru_cache(maxsize=8)
-def samples(size: int, bits: int, tables: int) -> np.ndarray:
-    """The bits that make each table's bucket."""
-    rng = np.random.default_rng([SEED, size, bits, tables])
-    return np.stack([rng.permutation(size)[: min(bits, size)] for _ in range(tables)])
+# Whole numbers of at most this size stand for a plane's components (16 bits a unit, below 8 units).
+PLANE_BITS = 19
+
+
+@lru_cache(maxsize=256)
+def planes(dim: int, bits: int, turn: int) -> np.ndarray:
+    """Normals of one table's hyperplanes as columns of whole numbers; no two tables share one."""
+    normals = np.random.default_rng([SEED, dim, bits, turn]).standard_normal((dim, bits))
+    return np.rint(normals.clip(-7.99, 7.99) * (1 << (PLANE_BITS - 3)))
 
 
-def buckets_of(signs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Bucket of each vector in each table."""
-    weights = 1 << np.arange(places.shape[1], dtype=np.int64)
-    return np.stack([signs[:, p].astype(np.int64) @ weights for p in places], axis=1)
+def whole_numbers(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as whole numbers whose products with planes add up exactly.
+
+    So a vector has the same bucket in whichever batch it is multiplied.
+    """
+    top = min(24, 52 - PLANE_BITS - max(vectors.shape[1] - 1, 0).bit_length())
+    return np.rint(vectors / np.abs(vectors).max(axis=1, keepdims=True) * (1 << top))
+
+
+def buckets_of(numbers: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """Bucket of each vector, given as whole numbers, in one table."""
+    return (numbers @ planes(numbers.shape[1], bits, turn) > 0) @ (1 << np.arange(bits, dtype=np.int64))
 
 
 def _encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,14 +130,14 @@ def _file(bits: int, tables: int, kind: str):
                     bodies = rows.column("body").to_pylist()
                     vectors = np.frombuffer(b"".join(bodies), kind).reshape(len(bodies), -1).astype(np.float64)
                     _, signs, factors = _encode(vectors)
-                    found = buckets_of(signs, samples(signs.shape[1], bits, tables))
+                    numbers = whole_numbers(vectors)
                     codes = pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary())
                     for t in range(tables):
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([vectors.shape[1]] * len(rows), pa.int32()),
                                 pa.array([t] * len(rows), pa.int32()),
-                                pa.array(found[:, t]),
+                                pa.array(buckets_of(numbers, bits, t)),
                                 rows.column("node"), rows.column("weight"), rows.column("body"), codes,
                                 pa.array(factors),
                             ],
@@ -167,20 +183,18 @@ def _forest(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _meet(cosine: float, bits: int, tables: int, kind: str):
+def _meet(cosine: float, bits: int, kind: str):
     """Link counts and a spanning forest of one bucket, or of two blocks of it."""
 
     def run(met: pa.Table) -> pa.Table:
         bodies = met.column("body").to_pylist()
         vectors = np.frombuffer(b"".join(bodies), kind).reshape(len(bodies), -1).astype(np.float64)
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        size = padded(vectors.shape[1])
         codes = np.frombuffer(b"".join(met.column("code").to_pylist()), np.uint8).reshape(len(bodies), -1)
         signs = np.unpackbits(codes, axis=1).astype(bool)
         factors, weights = met.column("factor").to_numpy(), met.column("weight").to_numpy()
         nodes, side = met.column("node").to_numpy(), met.column("side").to_numpy()
         turn = met.column("table")[0].as_py()
-        found = buckets_of(signs, samples(size, bits, tables))[:, :turn]
         split = side.min() != side.max()
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else [np.arange(len(nodes))] * 2
         links = _linked(unit[left], unit[right], signs[left], factors[left], cosine)
@@ -193,17 +207,18 @@ def _meet(cosine: float, bits: int, tables: int, kind: str):
             adjacent = links | links.T
             np.fill_diagonal(adjacent, False)
         root = _forest(adjacent)
-        fresh = adjacent
+        some = np.flatnonzero(root >= 0)
+        fresh, numbers = adjacent[np.ix_(some, some)], whole_numbers(vectors[some])
         for t in range(turn):
             if not fresh.any():
                 break
-            fresh = fresh & (found[:, t][:, None] != found[:, t][None, :])
-        counts = fresh @ weights
-        some = np.flatnonzero(root >= 0)
+            found = buckets_of(numbers, bits, t)
+            fresh &= found[:, None] != found[None, :]
+        counts = fresh @ weights[some]
         return pa.table(
             {
                 "node": pa.array(nodes[some]),
-                "links": pa.array(counts[some].astype(np.int64)),
+                "links": pa.array(counts.astype(np.int64)),
                 "root": pa.array(nodes[root[some]]),
             }
         )
@@ -254,7 +269,7 @@ def link_vectors(
         "node", "weight", "body", "code", "factor",
     )
     met = pairs.groupBy(*place, "low", "high").applyInArrow(
-        _meet(cosine, bits, tables, kind), "node long, links long, root long"
+        _meet(cosine, bits, kind), "node long, links long, root long"
     )
     met = materialise(met, "rabit-links")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from affinium.llm import rabit as module
@@ -105,5 +106,42 @@ def test_shape(n):
     assert (1 - same**bits) ** tables <= module.MISS and n / 2**bits <= 256
 
 
+def pairs_at(cosine, n, dim=64):
+    x, z = np.random.default_rng(11).standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8, 10**9])
+def test_pairs_meet_whatever_the_size_of_the_table(n):
+    """Share of pairs at the threshold with a common bucket, with the bits and tables that n vectors get."""
+    count = 2000
+    x, y = pairs_at(0.9, count)
+    vectors = np.concatenate([x, y])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(2 * count)), pa.array(np.ones(2 * count, np.int64)), pa.array([v.tobytes() for v in vectors])],
+        ["node", "weight", "body"],
+    )
+    buckets = {}
+    for out in module._file(*shape_of(n, 0.9), "<f8")([batch]):
+        buckets.setdefault(out.column("table")[0].as_py(), np.zeros(2 * count, np.int64))[
+            out.column("node").to_numpy()
+        ] = out.column("bucket").to_numpy()
+    met = np.any([b[:count] == b[count:] for b in buckets.values()], axis=0)
+    assert met.mean() >= 0.995
+
+
+def test_links_with_the_shape_of_a_large_table(spark, monkeypatch):
+    """No link is lost or counted twice over the tables that 1e6 vectors get."""
+    monkeypatch.setattr(module, "shape_of", lambda vectors, cosine: shape_of(10**6, cosine))
+    rows = list(enumerate(np.concatenate(pairs_at(0.902, 300)).astype(np.float32).tolist()))
+    got = {r.vec_id: r.n_links for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = {r[0]: r[1] for r in brute(rows)}
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
 def test_empty_table(spark):
     assert link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
