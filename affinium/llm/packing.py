@@ -22,10 +22,13 @@ collected in one task.
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +47,33 @@ GROUPS = 100
 SMALL_SHARE = 1 / 16
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the JSON file beside a file of ranks adds to the vocabulary; none without such a file."""
+    beside = Path(path).with_suffix(".json")
+    if not beside.exists():
+        return {}
+    found = json.loads(beside.read_text())["added_tokens"]
+    odd = [t["content"] for t in found if any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if odd:
+        raise ValueError(f"{beside}: only added tokens that stand for their exact text are known, not {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 def open_tokenizer(path: str):
-    """Byte-level BPE from a file of ranks: the ids of the JSON file of the same vocabulary."""
+    """Byte-level BPE from a file of ranks: the ids of the JSON file of the same vocabulary.
+
+    Texts are split at the tokens which that file adds, as a plain call of it does.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path) as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding(
-        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    ).encode_ordinary
+    added = added_tokens(path)
+    encoding = tiktoken.Encoding(
+        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added
+    )
+    return partial(encoding.encode, allowed_special=set(added), disallowed_special=())
 
 
 def default_vocabulary() -> str:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from affinium.llm.packing import END_ID, Plan, pack, sequences
+from affinium.llm.packing import END_ID, Plan, default_vocabulary, open_tokenizer, pack, sequences
 from affinium.llm.queries import QUERIES
 
 
@@ -110,5 +110,38 @@ def test_round_trip(spark):
     assert sorted({k for r in got for k in r["keys"]}, key=str) == [1, 2, 3, 4, None]
 
 
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>  y<|endoftext|><|endoftext|>", "<|endoftext|", "é漢\n<|endoftext|>\n",
+          "Hello world <|endoftext|> " * 30]
+
+
+def plain_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_a_plain_call():
+    """Also of texts that hold the added token, and of arbitrary text around it."""
+    want, got = plain_call(), open_tokenizer(default_vocabulary())
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endoftext|", "endoftext|>", " ", "  ", "\n", "\t\u00a0", "don't", "été", "漢字", "42", "\u0301", "🙂", "..."]
+    for text in [*MARKED, "", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000))]:
+        assert got(text) == want(text), text
+
+
+def test_pieces_of_texts_with_the_added_token(spark):
+    want = plain_call()
+    df = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    found = defaultdict(list)
+    for r in pack(df, capacity=32, keep_ids=True).collect():
+        found[r.doc_id].append(r)
+    for key, text in enumerate(MARKED):
+        pieces = sorted(found[key], key=lambda r: r.piece)
+        assert [i for r in pieces for i in r.ids] == [*want(text), END_ID]
+        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
