@@ -8,6 +8,7 @@ fixed size and may live on the driver; the data never does.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -280,6 +281,79 @@ class AdamW:
             value -= self.lr * (mean / (1 - 0.9**self.step)) / rate
 
 
+# Rows of consecutive batches that one task steps through: its size, whatever the catalog holds.
+STRETCH_ROWS = 1 << 14
+
+
+def stretch_steps(batched: DataFrame, shared: Broadcast, temperature: float, jaccard: bool) -> DataFrame:
+    """One optimiser step per batch, in the order of `batch_id`, from the shared (model, optimizer).
+
+    A step needs the parameters of the one before, so the batches run in one
+    task; callers bound their number. The result has one row per parameter
+    row and `part` (model, mean, square), and the totals in the row `('', '', 0)`.
+    """
+    schema = "part string, modality string, idx int, loss double, items long, steps long, value array<double>"
+
+    def rows_of(part: str, name: str, block: np.ndarray, first: int) -> pa.RecordBatch:
+        n = len(block)
+        return pa.RecordBatch.from_pydict(
+            {"part": pa.array([part] * n, pa.string()), "modality": pa.array([name] * n, pa.string()),
+             "idx": pa.array(np.arange(first, first + n), pa.int32()), "loss": pa.nulls(n, pa.float64()),
+             "items": pa.nulls(n, pa.int64()), "steps": pa.nulls(n, pa.int64()),
+             "value": vector_column(block, pa.float64())}
+        )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker may see the shared value again, so the steps are taken on a copy.
+        model, optimizer = copy.deepcopy(shared.value)
+        loss_sum, n_items, n_steps = 0.0, 0, 0
+        for run in key_runs(batches, "batch_id"):
+            inputs, keep = _input_columns(run), matrix(run["keep"])
+            z, lengths = fuse(model, inputs, keep)
+            weights = pair_weights(*inputs["genres"], run.num_rows, jaccard)
+            loss, _, dz = info_nce(z, weights, temperature)
+            grad = FusionModel({k: np.zeros_like(v) for k, v in model.weights.items()},
+                               {k: np.zeros_like(v) for k, v in model.bias.items()})
+            fuse_gradient(model, inputs, keep, z, lengths, dz, grad)
+            optimizer.update(model, grad)
+            loss_sum, n_items, n_steps = loss_sum + loss * run.num_rows, n_items + run.num_rows, n_steps + 1
+        if n_steps:
+            yield pa.RecordBatch.from_pydict(
+                {"part": pa.array([""]), "modality": pa.array([""]), "idx": pa.array([0], pa.int32()),
+                 "loss": [loss_sum], "items": [n_items], "steps": [n_steps],
+                 "value": pa.array([None], pa.list_(pa.float64()))}
+            )
+            for (kind, name), moments in optimizer.moments.items():
+                first = -1 if kind == "bias" else 0
+                for part, block in zip(PARTS, (getattr(model, kind)[name], *moments), strict=True):
+                    yield rows_of(part, name, np.atleast_2d(block), first)
+
+    narrow = batched.select("batch_id", "row_id", "keep", *INPUTS)
+    return narrow.repartition(1).sortWithinPartitions("batch_id", "row_id").mapInArrow(task, schema)
+
+
+PARTS = ("model", "mean", "square")
+
+
+def step_per_batch(batched: DataFrame, model: FusionModel, optimizer: AdamW, first: int, stop: int,
+                   temperature: float, jaccard: bool) -> tuple[float, int]:
+    """Take the steps of batches first..stop-1; changes model and optimizer, returns summed loss and items."""
+    shared = batched.sparkSession.sparkContext.broadcast((model, optimizer))
+    share = batched.filter(F.col("batch_id").between(first, stop - 1))
+    table = stretch_steps(share, shared, temperature, jaccard).toArrow()
+    shared.unpersist()
+    parts, names = np.array(table["part"].to_pylist()), np.array(table["modality"].to_pylist())
+    at = table["idx"].to_numpy()
+    head = int(np.flatnonzero(parts == "")[0])
+    for (kind, name), moments in optimizer.moments.items():
+        for part, block in zip(PARTS, (getattr(model, kind)[name], *moments), strict=True):
+            own = np.flatnonzero((parts == part) & (names == name) & ((at < 0) == (kind == "bias")))
+            own = own[np.argsort(at[own])]
+            block[...] = matrix(table["value"].take(pa.array(own))).reshape(block.shape)
+    optimizer.step += table["steps"][head].as_py()
+    return table["loss"][head].as_py(), table["items"][head].as_py()
+
+
 def validation_batches(encoded: DataFrame, batch_size: int) -> DataFrame:
     """The fixed batches of validation rows, the last partial one included, written once for all epochs."""
     narrow = encoded.select("row_id", *INPUTS)
@@ -313,24 +387,36 @@ def train_fusion(
     jaccard: bool = False,
     seed: int = fixed.SEED,
     patience: int = fixed.PATIENCE,
-    rounds: int = 4,
+    rounds: int | None = None,
     decay: float = fixed.WEIGHT_DECAY,
     report: Callable[[int, float, float], None] | None = None,
 ) -> tuple[FusionModel, list[tuple[int, float, float]]]:
     """Contrastive training with early stopping; returns the best model.
 
     `train` and `validation` hold the encoded inputs, best as stored tables.
-    An epoch shuffles the rows into batches once and takes `rounds` averaged
-    steps, each over its share of the batches.
+    An epoch shuffles the rows into batches once and takes a step per batch,
+    in the shuffled order. With `rounds` it takes so many averaged steps
+    instead, each over its share of the batches: less training, in parallel.
     """
     optimizer = AdamW(model, lr, decay)
     held = validation_batches(validation, batch_size)
     best, best_loss, waited, history = model.copy(), float("inf"), 0, []
     for epoch in range(1, epochs + 1):
         batched = assign_batches(train.select("row_id", *INPUTS), seed, epoch, batch_size)
-        batched = keep_flags(batched, modality_dropout, seed, epoch).persist()
+        batched = keep_flags(batched, modality_dropout, seed, epoch)
+        if rounds is None:
+            # Stored by ranges of batches, so that a stretch reads its own blocks only.
+            batched = batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "row_id")
+        batched = batched.persist()
         loss, items = 0.0, 0
-        for part in range(rounds):
+        if rounds is None:
+            last = batched.agg(F.max("batch_id").alias("last")).first()["last"]
+            count, stretch = 0 if last is None else int(last) + 1, max(STRETCH_ROWS // batch_size, 1)
+            for first in range(0, count, stretch):
+                stop = min(first + stretch, count)
+                part_loss, part_items = step_per_batch(batched, model, optimizer, first, stop, temperature, jaccard)
+                loss, items = loss + part_loss, items + part_items
+        for part in range(rounds or 0):
             share = batched.filter(F.pmod("batch_id", F.lit(rounds)) == part) if rounds > 1 else batched
             grad, part_loss, part_items = mean_gradient(share, model, temperature, jaccard)
             if part_items:

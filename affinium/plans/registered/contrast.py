@@ -187,6 +187,6 @@ def ml3(spark, folder):
     inputs = fusion_inputs(spark, folder)
     model = FusionModel.create(64, vocab_sizes(inputs), 32)
     _, history = train_fusion(
-        inputs.filter("split = 'train'"), inputs.filter("split = 'val'"), model, epochs=3, rounds=2
+        inputs.filter("split = 'train'"), inputs.filter("split = 'val'"), model, epochs=3
     )
     return spark.createDataFrame(history, "epoch long, train_loss double, val_loss double")

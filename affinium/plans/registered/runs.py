@@ -24,7 +24,7 @@ def trained(spark, folder, epochs=2) -> str:
     key = (spark.sparkContext.applicationId, folder, epochs)
     if key not in _trained:
         path = fresh_path(spark, "run")
-        runs.train(spark, tb.catalog(spark, folder), path, TEXT, epochs=epochs, embed_dim=32, rounds=2)
+        runs.train(spark, tb.catalog(spark, folder), path, TEXT, epochs=epochs, embed_dim=32)
         runs.build_index(spark, path, encoder=TEXT)
         _trained[key] = path
     return _trained[key]

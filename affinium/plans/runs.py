@@ -68,7 +68,7 @@ def train(
     modality_dropout: float = fixed.MODALITY_DROPOUT,
     jaccard: bool = False,
     seed: int = fixed.SEED,
-    rounds: int = 4,
+    rounds: int | None = None,
     patience: int = fixed.PATIENCE,
     decay: float = fixed.WEIGHT_DECAY,
     cap: int = fixed.VOCABULARY_CAP,

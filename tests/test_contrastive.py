@@ -162,6 +162,31 @@ def test_training_lowers_the_loss(spark):
     assert fu.validation_loss(val, best, 0.5, False, 16) == pytest.approx(min(h[2] for h in history), abs=1e-9)
 
 
+@pytest.mark.parametrize("stretch", [1 << 14, 32])
+def test_training_takes_a_step_per_batch(spark, monkeypatch, stretch):
+    """The default equals stepping through the batches one after the other, whatever a task holds."""
+    monkeypatch.setattr(fu, "STRETCH_ROWS", stretch)
+    data = encoded(spark, 100).drop("batch_id", "keep")
+    want, losses = fu.FusionModel.create(6, SIZES, 4), []
+    optimizer = fu.AdamW(want, 0.05)
+    for epoch in (1, 2):
+        batched = fu.assign_batches(data.select("row_id", *fu.INPUTS), 7, epoch, 16)
+        batched = fu.keep_flags(batched, 0.3, 7, epoch).persist()
+        losses.append(0.0)
+        for at in range(6):
+            grad, loss, items = fu.mean_gradient(batched.filter(f"batch_id = {at}"), want, 0.5)
+            assert items == 16
+            optimizer.update(want, grad)
+            losses[-1] += loss / 96
+    got = fu.FusionModel.create(6, SIZES, 4)
+    _, history = fu.train_fusion(data, data, got, epochs=2, batch_size=16, lr=0.05, temperature=0.5,
+                                 modality_dropout=0.3, seed=7)
+    assert [h[1] for h in history] == pytest.approx(losses, abs=1e-9)
+    for name in want.weights:
+        assert got.weights[name] == pytest.approx(want.weights[name], abs=1e-9)
+        assert got.bias[name] == pytest.approx(want.bias[name], abs=1e-9)
+
+
 def test_early_stopping(spark):
     data = encoded(spark, 32).drop("batch_id", "keep")
     model = fu.FusionModel.create(6, SIZES, 4)
