@@ -37,11 +37,11 @@ SMOOTHING, SCALE = 5, 1_000_000_000
 LEAST_DOCUMENTS, TOP_TERMS = 30, 50
 # Text bytes collapsed at once, sums a task holds, and sources and terms of a block on average.
 COLLAPSE_BYTES = 16 << 20
-HELD_SUMS = 1 << 18
+HELD_SUMS = 1 << 19
 SOURCES, TERMS = 64, 4096
 
 COLLAPSED = "lang string, digest binary, text string, source array<string>, n array<long>"
-COUNTED = "lang string, source string, term string, n long"
+COUNTED = "lang string, source string, term string, n long, docs long"
 CELL = ["lang", "cell", "low", "high"]
 
 
@@ -86,12 +86,12 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _sums(parts: list[pa.Table]) -> pa.Table:
-    added = pa.concat_tables(parts).group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
-    return added.select(["lang", "source", "term", "n_sum"]).rename_columns(["lang", "source", "term", "n"])
+    added = pa.concat_tables(parts).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return added.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
 
 
 def _weighted(part: pa.RecordBatch) -> pa.Table:
-    """Sums over a slice of collapsed rows; a null source stands for document frequencies."""
+    """Occurrences and documents by (language, source, term) over a slice of collapsed rows."""
     fresh = _changes(pa.Table.from_batches([part]), ["lang", "digest"])
     text_of = np.cumsum(fresh) - 1
     owners, terms = _terms(part.column("text").filter(pa.array(fresh)))
@@ -109,13 +109,8 @@ def _weighted(part: pa.RecordBatch) -> pa.Table:
     lang = part.column("lang").take(pa.array(row[entry]))
     source = lists.flatten().take(pa.array(entry))
     term = encoded.dictionary.take(pa.array(cells[cell] % size)).cast(pa.string())
-    names = ["lang", "source", "term", "n"]
-    return _sums(
-        [
-            pa.table([lang, source, term, pa.array(counts[cell] * n[entry])], names=names),
-            pa.table([lang, pa.nulls(len(entry), pa.string()), term, pa.array(n[entry])], names=names),
-        ]
-    )
+    found = [lang, source, term, pa.array(counts[cell] * n[entry]), pa.array(n[entry])]
+    return _sums([pa.table(found, names=["lang", "source", "term", "n", "docs"])])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +181,17 @@ def _apart(cell: pa.Table) -> pa.Table:
 
 
 def term_counts(rows: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Rows (lang, source, term, n): occurrences; where source is null, documents of the language with the term.
+    """Rows (lang, source, term, n, docs): occurrences of the term there, and documents with it.
 
     Null texts, languages and sources are read as empty ones, texts whole.
+    All rows of a (lang, term) are in one partition.
     """
     read = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     named = read.where("text <> ''").withColumn("digest", F.unhex(F.sha2("text", 256)))
     collapsed = named.mapInArrow(_collapse, COLLAPSED).repartition("lang", "digest").sortWithinPartitions("lang", "digest")
-    return collapsed.mapInArrow(_count, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    # Tasks have added up what they hold, so a combine before this shuffle would find little.
+    sums = collapsed.mapInArrow(_count, COUNTED).repartition("lang", "term")
+    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(count: str, total: str) -> Column:
@@ -231,10 +229,12 @@ def audit_sources(
     count as often as they occur. Ties rank by the item. An empty table, or a
     language with one source, gives no pairs. Other columns are ignored.
     """
-    counted = materialise(term_counts(rows, text, lang, source), "audit-counts")
-    frequent = counted.where("source is null").where(F.col("n") >= least).select("lang", "term")
-    kept = counted.where("source is not null").join(frequent, ["lang", "term"])
+    of_term = Window.partitionBy("lang", "term")
+    counted = term_counts(rows, text, lang, source)
+    counted = counted.withColumn("lang_docs", F.sum("docs").over(of_term)).withColumn("lang_n", F.sum("n").over(of_term))
+    kept = counted.where(F.col("lang_docs") >= least).select("lang", "source", "term", "n", "lang_n")
     kept = materialise(kept, "audit-kept")
+    frequent = kept.select("lang", "term").distinct()
     groups = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
@@ -249,7 +249,6 @@ def audit_sources(
         F.greatest(F.ceil(F.col("terms") / TERMS), F.lit(1)).cast("int").alias("cells"),
     )
     groups = materialise(groups, "audit-groups")
-    in_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     shares = kept.join(groups, ["lang", "source"]).withColumn("p", _share("n", "total"))
 
     cells = _cells(groups, shares).groupBy(*CELL).applyInArrow(
@@ -265,7 +264,7 @@ def audit_sources(
         "lang", F.when(F.col("way") == 0, F.col("source")).otherwise(F.col("item")).alias("source"), F.lit("pair").alias("part"),
         F.when(F.col("way") == 0, F.col("item")).otherwise(F.col("source")).alias("item"), "value",
     )
-    above = shares.join(in_lang, ["lang", "term"]).withColumn("value", F.col("p") - _share("lang_n", "lang_total"))
+    above = shares.withColumn("value", F.col("p") - _share("lang_n", "lang_total"))
     above = above.where("value > 0").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     best_first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs.withColumn("rank", F.row_number().over(best_first))
