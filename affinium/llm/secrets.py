@@ -46,8 +46,11 @@ ALLOWED = [
     r"^[A-Za-z/_=+-]+$",
     r"(?i)example|placeholder|changeme",
 ]
-# c * log2(c) for every count a window can hold.
+# Characters of a candidate that one slide covers; longer ones are cut, with WINDOW - 1 in common.
+STRETCH = 200
+# c * log2(c) for every count a window can hold, and how much one more adds.
 C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+ONE_MORE = [b - a for a, b in zip(C_LOG_C, C_LOG_C[1:])]
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -82,24 +85,48 @@ def _spans(text: Column, kind: int, pattern: str, gate: str, keep) -> Column:
     return F.when(text.rlike(gate), located).otherwise(F.array().cast(SPAN))
 
 
-def _count(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
-
-
 def _hot_windows(match: Column) -> Column:
-    """(first, last) start of the windows of a candidate that reach its threshold; -1 if none does."""
-    table_ = F.array(*[F.lit(v) for v in C_LOG_C])
-    value = lambda count: F.element_at(table_, count + 1)
+    """(first, last) start of the windows of a candidate that reach its threshold; -1 if none does.
+
+    Long candidates are cut into stretches, so that work grows with their
+    length.
+    """
     limit = F.lit(None).cast("double")
     for _, pattern, bits in reversed(THRESHOLDS):
         limit = F.when(match.rlike(pattern), F.lit(bits)).otherwise(limit)
-    # Entropy = log2(W) - S / W, so a window is hot when S is at most this.
-    most = (math.log2(WINDOW) - limit) * WINDOW + F.lit(1e-9)
+    # Entropy = log2(W) - S / W, so a window is hot when S is at most this. An array of one binds it: what a lambda
+    # uses as an expression would be evaluated again for every window.
+    most = F.array((math.log2(WINDOW) - limit) * WINDOW + F.lit(1e-9))
+    parts = F.regexp_extract_all(match, F.lit(rf".{{1,{STRETCH}}}"), F.lit(0))
+    none = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def over_stretches(parts: Column, most: Column) -> Column:
+        heads = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.substr(p, F.lit(1), F.lit(WINDOW - 1)))
+        # The head of the next part completes the windows that begin in this one.
+        stretches = F.zip_with(parts, heads, lambda part, head: F.concat(part, F.coalesce(head, F.lit(""))))
+        found = F.transform(stretches, lambda stretch, i: F.struct((i * STRETCH).alias("at"), _hot_in_stretch(stretch, most).alias("hot")))
+        return F.aggregate(
+            F.filter(found, lambda s: s["hot"]["first"] >= 0),
+            none,
+            lambda acc, s: F.struct(
+                F.when(acc["first"] < 0, s["at"] + s["hot"]["first"]).otherwise(acc["first"]).alias("first"),
+                (s["at"] + s["hot"]["last"]).alias("last"),
+            ),
+        )
+
+    bound = F.transform(most, lambda m: F.when(m.isNull(), none).otherwise(
+        F.element_at(F.transform(F.array(parts), lambda p: over_stretches(p, m)), 1)
+    ))
+    return F.element_at(bound, 1)
+
+
+def _hot_in_stretch(match: Column, most: Column) -> Column:
+    """The same for one stretch; none in a stretch shorter than a window."""
+    adds = lambda count: F.element_at(F.array(*[F.lit(v) for v in ONE_MORE]), count + 1)
 
     def first_sum(acc: Column, i: Column) -> Column:
         head = F.substr(match, F.lit(1), i - 1)
-        seen = _count(head, F.substr(match, i, F.lit(1)))
-        return acc + value(seen + 1) - value(seen)
+        return acc + adds(i - 1 - F.length(F.replace(head, F.substr(match, i, F.lit(1)), F.lit(""))))
 
     total = F.aggregate(F.sequence(F.lit(1), F.lit(WINDOW)), F.lit(0.0), first_sum)
     begin = F.struct(
@@ -111,20 +138,24 @@ def _hot_windows(match: Column) -> Column:
     def slide(acc: Column, i: Column) -> Column:
         # i is the place, from 0, where the window now starts.
         shared = F.substr(match, i + 1, F.lit(WINDOW - 1))
-        gone = _count(shared, F.substr(match, i, F.lit(1)))
-        come = _count(shared, F.substr(match, i + WINDOW, F.lit(1)))
-        now = acc["sum"] - (value(gone + 1) - value(gone)) + (value(come + 1) - value(come))
-        hot = now <= most
-        return F.struct(
-            now.alias("sum"),
-            F.when(hot & (acc["first"] < 0), i).otherwise(acc["first"]).alias("first"),
-            F.when(hot, i).otherwise(acc["last"]).alias("last"),
+        count = lambda at: WINDOW - 1 - F.length(F.replace(shared, F.substr(match, at, F.lit(1)), F.lit("")))
+        now = F.array(acc["sum"] - adds(count(i)) + adds(count(i + WINDOW)))
+        return F.element_at(
+            F.transform(
+                now,
+                lambda now: F.struct(
+                    now.alias("sum"),
+                    F.when((now <= most) & (acc["first"] < 0), i).otherwise(acc["first"]).alias("first"),
+                    F.when(now <= most, i).otherwise(acc["last"]).alias("last"),
+                ),
+            ),
+            1,
         )
 
     places = F.when(F.length(match) > WINDOW, F.sequence(F.lit(1), F.length(match) - WINDOW))
     places = F.coalesce(places, F.array().cast("array<int>"))
-    return F.when(limit.isNull(), F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-                  ).otherwise(F.aggregate(places, begin, slide))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.when(F.length(match) < WINDOW, none).otherwise(F.aggregate(places, begin, slide))
 
 
 def _entropy_spans(text: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from affinium.llm import secrets
@@ -84,3 +85,19 @@ def test_native(spark, tables):
     plan = QUERIES["op7_secret_scan"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange"))
     assert secrets.WINDOW == len(secrets.C_LOG_C) - 1
+
+
+def test_long_candidates(spark):
+    """Stretches overlap: hot windows at, before and after every cut are found, in time that grows with the length."""
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    made = [key(n) for n in (499, 500, 501, 519, 520, 999, 1000, 1019, 2500)]
+    made += ["aA1" + "a" * at + key(25) + "a" * (1300 - at) for at in range(440, 540, 3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    for r in scan_secrets(df).collect():
+        assert [tuple(s) for s in r.spans] == brute(r.text), r.doc_id
+    started = time.monotonic()
+    (row,) = scan_secrets(spark.createDataFrame([(1, key(200_000))], "doc_id long, text string")).collect()
+    assert [tuple(s)[1:] for s in row.spans][-1] == (3, 200_000)
+    assert time.monotonic() - started < 60
