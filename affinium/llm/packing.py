@@ -62,10 +62,13 @@ def added_tokens(path: str) -> dict[str, int]:
 def open_tokenizer(path: str):
     """Byte-level BPE from a file of ranks: the ids of the JSON file of the same vocabulary.
 
-    Texts are split at the tokens which that file adds, as a plain call of it does.
+    Texts are split at the tokens which that file adds, as a plain call of it
+    does. Where a text has a run too long for the pattern's matcher, as a
+    million spaces are, the JSON file is used itself.
     """
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(path) as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -73,7 +76,18 @@ def open_tokenizer(path: str):
     encoding = tiktoken.Encoding(
         "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added
     )
-    return partial(encoding.encode, allowed_special=set(added), disallowed_special=())
+    fast = partial(encoding.encode, allowed_special=set(added), disallowed_special=())
+    plain: list = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast(text)
+        except ValueError:
+            if not plain:
+                plain.append(tokenizers.Tokenizer.from_file(str(Path(path).with_suffix(".json"))))
+            return plain[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def default_vocabulary() -> str:

@@ -145,3 +145,9 @@ def test_pieces_of_texts_with_the_added_token(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "\t" * 1_500_000 + "end", "word" + " " * 1_200_000 + "é <|endoftext|> x"])
+def test_long_white_space(text):
+    """Runs beyond what the fast matcher can hold give the ids of a plain call."""
+    assert open_tokenizer(default_vocabulary())(text) == plain_call()(text)
