@@ -83,5 +83,5 @@ def write_shards(rows: DataFrame, key: str, path: str, **options) -> None:
 
 @query("op2_shard_lookup")
 def op2_shard_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    placed = assign_shards(table(spark, folder, "documents").select("doc_id"), "doc_id")
+    placed = assign_shards(table(spark, folder, "documents"), "doc_id")
     return placed.select("doc_id", "slot", "shard")

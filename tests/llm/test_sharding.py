@@ -72,3 +72,10 @@ def test_odd_rows(spark, tmp_path):
 def test_no_shuffle(spark, tables):
     plan = QUERIES["op2_shard_lookup"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_null_ids_spread(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op2_shard_lookup"](spark, str(tmp_path)).collect()
+    assert len({r.slot for r in got}) > 40
