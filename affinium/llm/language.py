@@ -169,16 +169,18 @@ def _count(languages: list[str]):
 def learn(
     documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS
 ) -> Model:
-    """Model from rows with text and language, at most `rows` of them.
+    """Model from rows with key, text and language, at most `rows` different ones.
 
-    Rows without one of both are left out. Without any the model knows only
+    Rows without one of them are left out, repeated rows count once. Without any the model knows only
     `und`.
     """
     known = documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     known = known.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # At most `rows` rows, so the broadcast is bounded.
-    chosen = known.select("key").where("key is not null").orderBy(F.xxhash64("key"), "key").limit(rows).distinct()
-    sample = known.join(F.broadcast(chosen), "key", "left_semi")
+    known = known.where("key is not null").withColumn("digest", F.sha2("text", 256))
+    named = ["key", "digest", "lang"]
+    # At most `rows` rows, so the broadcast is bounded; the text decides too, so that one key cannot fill the sample.
+    chosen = known.select(*named).distinct().orderBy(F.xxhash64("key", "digest"), *named).limit(rows)
+    sample = known.join(F.broadcast(chosen), named, "left_semi").dropDuplicates(named)
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     if not languages:
         return Model([UNDETERMINED], np.zeros((BUCKETS, 1)), np.zeros((len(SCRIPTS), 1)))

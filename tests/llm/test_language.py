@@ -88,3 +88,11 @@ def model_scripts():
     from affinium.llm.language import SCRIPTS
 
     return len(SCRIPTS)
+
+
+def test_one_repeated_key_does_not_fill_the_sample(spark):
+    rows = [(922, f"das haus und der garten {i}", "de") for i in range(300)] * 3
+    rows += [(i, f"the house and that thing {i}", "en") for i in range(60)] + [(100 + i, f"la maison et le jardin {i}", "fr") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for limit in (60, 100, 300):
+        assert learn(df, rows=limit).languages == ["de", "en", "fr"]
