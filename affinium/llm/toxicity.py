@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -100,8 +102,12 @@ class Lexicon:
                 best[start] = (entry, weight)
         if exempt:
             # A phrase ends with a space that a beginning never has, so what starts inside it ends there too.
-            inside = {i for a, b in exempt for i in range(a, b)}
-            return [(s, e, w) for s, (e, w) in sorted(best.items()) if s not in inside]
+            # Phrases come by rising end; the farthest end among those that begin up to a place tells whether one covers it.
+            exempt.sort()
+            starts = [a for a, _ in exempt]
+            reach = list(accumulate((b for _, b in exempt), max))
+            covered = lambda s: (i := bisect_right(starts, s)) > 0 and s < reach[i - 1]
+            return [(s, e, w) for s, (e, w) in sorted(best.items()) if not covered(s)]
         return [(s, e, w) for s, (e, w) in sorted(best.items())]
 
     def features(self, folded: str, found: list) -> list[float]:
@@ -182,17 +188,21 @@ def learn(
     documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
     rows: int = SAMPLE_ROWS,
 ) -> Lexicon:
-    """Lexicon, exceptions and curve from labelled rows, at most `rows` of them.
+    """Lexicon, exceptions and curve from labelled rows, at most `rows` different (key, text).
 
     A document with several labels has the highest; null labels and keys are
-    left out. Ties between equally telling entries go by the entry.
+    left out, a null text is an empty one, repeated rows count once. Ties between equally telling entries go by the entry.
     Without labels of both kinds the lexicon is empty and the score constant.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("toxic"))
     known = known.where("key is not null").orderBy(F.xxhash64("key"), "key").limit(rows)
     known = known.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    # At most `rows` rows, so the broadcast is bounded.
-    sample = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
+    # At most `rows` rows in either step, so the broadcasts are bounded; a repeated id may bring many texts.
+    texts = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(known), "key").withColumn("digest", F.sha2("text", 256))
+    order = F.xxhash64("key", "digest")
+    chosen = texts.select("key", "digest").distinct().orderBy(order, "key", "digest").limit(rows)
+    sample = texts.join(F.broadcast(chosen), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
     sample = materialise(sample.select("text", "toxic").repartition(64), "toxicity-sample")
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = size.get(0, 0), size.get(1, 0)
@@ -241,25 +251,31 @@ def score_toxicity(documents: DataFrame, lexicon: Lexicon, text: str = "text", p
     """
     score, terms = f"{prefix}score", f"{prefix}terms"
     kept = [c for c in documents.columns if c not in (score, terms)]
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
+    # The text goes through once; the other columns beside it.
+    others = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in kept if c != text])
+    packed = documents.select(others.alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
         for batch in small_slices(batches, "text", SLICE_BYTES):
             scores, found_terms = [], []
-            for body in batch.column("text").to_pylist():
-                folded = fold(body)
+            for body in batch.column("text"):
+                folded = fold(body.as_py())
                 found = lexicon.matches(folded)
                 scores.append(lexicon.score(folded, found))
                 found_terms.append([e.strip() for _, e, _ in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(scores, pa.float64()), pa.array(found_terms, pa.list_(pa.string()))],
-                ["row", "score", "terms"],
+                [*batch.columns, pa.array(scores, pa.float64()), pa.array(found_terms, pa.list_(pa.string()))],
+                ["row", "text", "score", "terms"],
             )
+            del batch
+            pool.release_unused()
 
-    schema = packed.select("row", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("terms")).schema
+    schema = packed.select("row", "text", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("terms")).schema
     scored = packed.mapInArrow(run, schema)
     return scored.select(
-        *[F.col("row").getField(c).alias(c) for c in kept], F.col("score").alias(score), F.col("terms").alias(terms)
+        *[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in kept],
+        F.col("score").alias(score), F.col("terms").alias(terms),
     )
 
 

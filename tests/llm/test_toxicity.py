@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from affinium.llm import toxicity as module
 from affinium.llm.queries import QUERIES
 from affinium.llm.toxicity import Lexicon, fold, learn, score_toxicity
 
@@ -87,3 +88,20 @@ def test_held_out(spark):
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.93
     assert all(r.predicted == (r.score >= 0.5) and math.isfinite(r.score) for r in got)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """A repeated id brings no more rows than asked for, and repeated rows count once."""
+    docs = [(1, f"text {i}") for i in range(3000)] + [(k, f"a vile grobian {k}") for k in range(2, 60)] * 20
+    labels = [(1, 0)] + [(k, 1) for k in range(2, 60)]
+    sizes = []
+    real = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: sizes.append(df.count()) or real(df, name))
+    learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rows=100)
+    learn(spark.createDataFrame(docs[3000:], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sizes == [100, 58]
+
+
+def test_many_exception_phrases():
+    lexicon = Lexicon({" bad ": 1.0}, [" bad apple ", " no bad "])
+    assert [s for s, _, _ in lexicon.matches(" bad apple bad no bad bad bad apple ")] == [10, 21]
