@@ -10,6 +10,7 @@ meets each block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ from affinium.session import materialise
 WINDOW_WORDS = 10
 # Characters of item text in one automaton (a single longer item stays whole); about 100 bytes in a task each.
 BLOCK_CHARS = 1 << 19
-# Automata that run behind each other in one stage.
+# Automata that one pass of the documents meets, and text bytes handled at once.
 BLOCKS_AT_ONCE = 4
+SLICE_BYTES = 1 << 20
 # Share of a document's words that may be hit before it is dropped rather than cut.
 MOST_COVERED = 0.5
 
@@ -43,26 +45,32 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.items = [item for item, _ in items]
-        ends = []
         coded = [[self.numbers.setdefault(w, len(self.numbers)) for w in words] for _, words in items]
-        for number, words in enumerate(coded):
-            last, path = 0, []
+        for words in coded:
+            last = 0
             for word in words:
                 last = self._extend(last, word)
-                path.append(last)
-            ends.append(path)
-        # The state of the window that ends at each place: climb to where the window's length lies.
-        self.windows: dict[int, set[int]] = {}
-        self.short: dict[int, dict[int, set[int]]] = {}
-        for number, (words, path) in enumerate(zip(coded, ends)):
+        # Items of each window, by its state and size.
+        self.windows: dict[tuple[int, int], set[int]] = {}
+        for number, words in enumerate(coded):
             size = min(window, len(words))
-            for state in path[size - 1 :] if size else []:
-                while self.link[state] >= 0 and self.length[self.link[state]] >= size:
+            state = 0
+            for at, word in enumerate(words, 1):
+                # The state of the last `size` words: one more word, then up to where that length lies.
+                state = self.next[state][word]
+                while self.length[self.link[state]] >= size:
                     state = self.link[state]
-                if size == window:
-                    self.windows.setdefault(state, set()).add(number)
-                else:
-                    self.short.setdefault(state, {}).setdefault(size, set()).add(number)
+                if at >= size:
+                    self.windows.setdefault((state, size), set()).add(number)
+        # Per state the windows that end wherever it does, the longest first: its own and those of its suffixes. A
+        # state without windows of its own shares the tuple of its link, and there are at most `window` sizes.
+        own: dict[int, list[tuple[int, int]]] = {}
+        for state, size in self.windows:
+            own.setdefault(state, []).append((size, state))
+        self.ends: list[tuple] = [()] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            above = self.ends[self.link[state]]
+            self.ends[state] = (*sorted(own[state], reverse=True), *above) if state in own else above
         pairs = {(a, b) for words in coded for a, b in zip(words, words[1:])}
         count = len(self.numbers)
         self.words = pa.array(list(self.numbers), pa.large_string())
@@ -104,7 +112,7 @@ class Automaton:
         """Stretches [start, stop) of words inside occurring windows, and the items these belong to."""
         state = matched = 0
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for at, word in enumerate(words, 1):
             while state and word not in self.next[state]:
                 state = self.link[state]
@@ -114,26 +122,17 @@ class Automaton:
                 matched += 1
             else:
                 matched = 0
-            if matched < self.least:
-                continue
-            reach, climb = 0, state
-            while climb > 0:
-                # This state stands for suffixes longer than its link's, and at most as long as the match.
-                low, high = self.length[self.link[climb]], min(matched, self.length[climb])
-                if low < self.window <= high and climb in self.windows:
-                    reach = max(reach, self.window)
-                    found |= self.windows[climb]
-                for size, items in self.short.get(climb, {}).items():
-                    if low < size <= high:
-                        reach = max(reach, size)
-                        found |= items
-                climb = self.link[climb]
+            reach = 0
+            for size, owner in self.ends[state]:
+                if size <= matched:
+                    reach = reach or size
+                    met.add((owner, size))
             if reach:
                 if spans and spans[-1][1] >= at - reach:
                     spans[-1] = (min(spans[-1][0], at - reach), at)
                 else:
                     spans.append((at - reach, at))
-        return spans, found
+        return spans, set().union(*(self.windows[m] for m in met))
 
 
 def _item_blocks(benchmark: DataFrame, item: str, text: str) -> list[list]:
@@ -158,54 +157,94 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str) -> list[list]:
     return ([r for r in placed.where(F.col("block") == n).select("item", "text").collect()] for n in numbers)
 
 
-def _meet(shared):
-    """Match documents against one broadcast automaton; adds to what earlier blocks found."""
+def _runs(machine: Automaton, numbers: np.ndarray, owner: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of known words whose neighbours are neighbours in some item: only these can hold a window."""
+    pair = numbers[:-1] * len(machine.words) + numbers[1:]
+    ok = (numbers[:-1] >= 0) & (numbers[1:] >= 0) & (owner[:-1] == owner[1:])
+    if len(machine.pairs):
+        at = np.minimum(np.searchsorted(machine.pairs, pair), len(machine.pairs) - 1)
+        ok &= machine.pairs[at] == pair
+    else:
+        ok[:] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))
+    runs = [(a, b + 1) for a, b in zip(edges[::2], edges[1::2]) if b + 1 - a >= machine.least]
+    if machine.least == 1:
+        inside = np.zeros(len(numbers) + 1, bool)
+        for a, b in runs:
+            inside[a:b] = True
+        runs += [(i, i + 1) for i in np.flatnonzero((numbers >= 0) & ~inside[: len(numbers)])]
+        runs.sort()
+    return runs
+
+
+def _meet(shared: list, most_covered: float | None = None):
+    """Match documents against broadcast automata; adds to what earlier ones found.
+
+    With most_covered, hit stretches are cut from the texts then, and
+    documents covered further are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine: Automaton = shared.value
-        count = len(machine.words)
-        for batch in small_slices(batches, "text"):
+        pool = pa.default_memory_pool()
+        for batch in small_slices(batches, "text", SLICE_BYTES):
             words, counts = flat_words(batch.column("text"), NOT_ALNUM)
-            numbers = pc.fill_null(pc.index_in(words, value_set=machine.words), -1).to_numpy(zero_copy_only=False)
-            numbers = numbers.astype(np.int64)
             stops = np.cumsum(counts)
             owner = np.repeat(np.arange(len(counts)), counts)
-            # Only runs of known words whose neighbours are neighbours in some item can hold a window.
-            pair = numbers[:-1] * count + numbers[1:]
-            ok = (numbers[:-1] >= 0) & (numbers[1:] >= 0) & (owner[:-1] == owner[1:])
-            if len(machine.pairs):
-                at = np.minimum(np.searchsorted(machine.pairs, pair), len(machine.pairs) - 1)
-                ok &= machine.pairs[at] == pair
-            else:
-                ok[:] = False
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))
-            runs = [(a, b + 1) for a, b in zip(edges[::2], edges[1::2]) if b + 1 - a >= machine.least]
-            if machine.least == 1:
-                inside = np.zeros(len(numbers) + 1, bool)
-                for a, b in runs:
-                    inside[a:b] = True
-                runs += [(i, i + 1) for i in np.flatnonzero((numbers >= 0) & ~inside[: len(numbers)])]
-                runs.sort()
-            spans = [list(s or []) for s in batch.column("spans").to_pylist()]
-            items = [set(s or []) for s in batch.column("items").to_pylist()]
-            for a, b in runs:
-                stretch, found = machine.scan(numbers[a:b].tolist())
-                if found:
-                    row = owner[a]
-                    shift = int(a - (stops[row] - counts[row]))
-                    spans[row] += [{"start": s + shift, "stop": e + shift} for s, e in stretch]
-                    items[row] |= {machine.items[i] for i in found}
-            kind = batch.schema.field("spans").type
-            yield batch.set_column(
-                batch.schema.get_field_index("spans"), "spans", pa.array([_merged(s) for s in spans], kind)
-            ).set_column(
-                batch.schema.get_field_index("items"), "items",
-                pa.array([sorted(i) for i in items], batch.schema.field("items").type),
-            ).set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(counts, pa.int64()))
+            new_spans: dict[int, list[dict]] = {}
+            new_items: dict[int, set[str]] = {}
+            for machine in (s.value for s in shared):
+                numbers = pc.fill_null(pc.index_in(words, value_set=machine.words), -1).to_numpy(zero_copy_only=False)
+                numbers = numbers.astype(np.int64)
+                for a, b in _runs(machine, numbers, owner):
+                    stretch, found = machine.scan(numbers[a:b].tolist())
+                    if found:
+                        row = int(owner[a])
+                        shift = int(a - (stops[row] - counts[row]))
+                        new_spans.setdefault(row, []).extend({"start": s + shift, "stop": e + shift} for s, e in stretch)
+                        new_items.setdefault(row, set()).update(machine.items[i] for i in found)
+            del words
+            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            for row, found in new_spans.items():
+                spans[row] = _merged([*spans[row], *found])
+                items[row] = sorted({*items[row], *new_items[row]})
+            columns = dict(zip(batch.schema.names, batch.columns))
+            columns["spans"] = pa.array(spans, batch.schema.field("spans").type)
+            columns["items"] = pa.array(items, batch.schema.field("items").type)
+            columns["n_words"] = pa.array(counts, pa.int64())
+            if most_covered is not None:
+                hit = [sum(s["stop"] - s["start"] for s in found) for found in spans]
+                columns["text"] = _cut(columns["text"], spans)
+                stay = pa.array([h <= most_covered * n for h, n in zip(hit, counts)], pa.bool_())
+                columns = {name: column.filter(stay) for name, column in columns.items()}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            del batch, columns
+            pool.release_unused()
 
     return run
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _cut(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
+    """Texts without their hit stretches; texts without hits are not touched."""
+    hit = [row for row, found in enumerate(spans) if found]
+    if not hit:
+        return texts
+    left = []
+    for row in hit:
+        text = texts[row].as_py()
+        places = [m.span() for m in WORD.finditer(text)]
+        pieces, at = [], 0
+        for s in spans[row]:
+            pieces.append(text[at : places[s["start"]][0]])
+            at = places[s["stop"] - 1][1]
+        left.append("".join([*pieces, text[at:]]))
+    mask = np.zeros(len(spans), bool)
+    mask[hit] = True
+    return pc.replace_with_mask(texts, pa.array(mask), pa.array(left, texts.type))
+
+
 def _merged(spans: list[dict]) -> list[dict]:
     out: list[dict] = []
     for s in sorted(spans, key=lambda s: s["start"]):
@@ -216,6 +255,34 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
+def _matched(
+    documents: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int,
+    most_covered: float | None,
+) -> DataFrame:
+    """Rows (key, text, n_words, spans, items) after all automata; cut where most_covered is given."""
+    spark = documents.sparkSession
+    named = benchmark.select(
+        F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("item_text")
+    )
+    rows = documents.select(
+        F.col(key).alias("key"),
+        F.col(text).alias("text"),
+        F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start:long,stop:long>>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
+    )
+    waiting: list = []
+    for block in _item_blocks(named, "item_id", "item_text"):
+        if len(waiting) == BLOCKS_AT_ONCE:
+            rows = materialise(rows.mapInArrow(_meet(waiting), rows.schema), "decontaminate")
+            waiting = []
+        words, counts = flat_words(pa.array([r.text for r in block], pa.string()), NOT_ALNUM)
+        listed, stops = words.to_pylist(), np.cumsum(counts)
+        items = [(r.item, listed[stop - count : stop]) for r, count, stop in zip(block, counts, stops)]
+        waiting.append(spark.sparkContext.broadcast(Automaton([(i, w) for i, w in items if w], window)))
+    return rows.mapInArrow(_meet(waiting, most_covered), rows.schema)
+
+
 def find_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -224,7 +291,6 @@ def find_leaks(
     item: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW_WORDS,
-    keep_text: bool = False,
 ) -> DataFrame:
     """Rows (key, n_words, spans, items), one per document.
 
@@ -233,73 +299,34 @@ def find_leaks(
     texts have no words; items without words, and null items' texts, match
     nothing. Repeated documents are judged alike, repeated items count once,
     a null item id is `null`. Without items nothing is hit; an empty table
-    gives an empty result. Other columns are ignored.
+    gives an empty result. Other columns are ignored. Work grows with the
+    words of a text, repeated words included.
     """
-    spark = documents.sparkSession
-    named = benchmark.select(
-        F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item_id"), F.col(item_text).alias("item_text")
-    )
-    rows = documents.select(
-        F.col(key).alias("key"),
-        F.col(text).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:long,stop:long>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    blocks = _item_blocks(named, "item_id", "item_text")
-    for number, block in enumerate(blocks, 1):
-        words, counts = flat_words(pa.array([r.text for r in block], pa.string()), NOT_ALNUM)
-        listed, stops = words.to_pylist(), np.cumsum(counts)
-        items = [(r.item, listed[stop - count : stop]) for r, count, stop in zip(block, counts, stops)]
-        machine = Automaton([(i, w) for i, w in items if w], window)
-        rows = rows.mapInArrow(_meet(spark.sparkContext.broadcast(machine)), rows.schema)
-        if number % BLOCKS_AT_ONCE == 0:
-            rows = materialise(rows, "decontaminate")
-    found = rows.withColumnRenamed("key", key)
-    return found if keep_text else found.drop("text")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import re
-
-    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
-            if text and spans:
-                places = [m.span() for m in word.finditer(text)]
-                pieces, at = [], 0
-                for s in spans:
-                    pieces.append(text[at : places[s["start"]][0]])
-                    at = places[s["stop"] - 1][1]
-                text = "".join([*pieces, text[at:]])
-            out.append(text)
-        yield batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(out, pa.string()))
+    found = _matched(documents, benchmark, key, text, item, item_text, window, None)
+    return found.withColumnRenamed("key", key).drop("text")
 
 
 def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
-    key: str = "doc_id",
     text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW_WORDS,
     most_covered: float = MOST_COVERED,
-    **options,
 ) -> DataFrame:
-    """Documents without the benchmark's windows, with their own columns.
+    """Documents without the benchmark's windows, with their own columns, whatever their names.
 
     Hit stretches are cut out; a document of whose words more than
-    most_covered are hit is dropped. Documents without hits, null texts
-    included, stay as they are.
+    most_covered are hit is dropped. Documents without hits, null and empty
+    texts included, stay as they are, repeated rows too; keys are not read.
+    An empty table gives an empty result, without items all stay.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    packed = documents.select(whole.alias("_row"), F.col(text).alias("_text"))
-    found = find_leaks(packed, benchmark, "_row", "_text", keep_text=True, **options)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    stay = found.where((hit == 0) | (hit <= most_covered * F.col("n_words")))
-    stay = stay.select("_row", F.col("text").alias("_text"), F.col("spans").alias("_spans"))
-    cut = stay.mapInArrow(_cut, stay.schema)
-    return cut.select(
-        *[(F.col("_text") if c == text else F.col("_row").getField(c)).alias(c) for c in documents.columns]
+    others = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in documents.columns if c != text])
+    packed = documents.select(others.alias("_row"), F.col(f"`{text}`").alias("_text"))
+    found = _matched(packed, benchmark, "_row", "_text", item, item_text, window, most_covered)
+    return found.select(
+        *[(F.col("text") if c == text else F.col("key").getField(c)).alias(c) for c in documents.columns]
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -102,3 +103,21 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert of(find_leaks(documents.limit(0), items)) == []
     assert of(find_leaks(documents, items.limit(0))) == [(1, 2, 0, [])]
+
+
+def test_equal_words_take_linear_time():
+    """An item and a document of one word, over and over: no climb per word."""
+    started = time.monotonic()
+    machine = Automaton([("long", ["a"] * 20_000), ("short", ["a"] * 3), ("other", ["a", "b"] * 10_000)], 10)
+    spans, found = machine.scan([0] * 80_000)
+    assert spans == [(0, 80_000)] and sorted(machine.items[i] for i in found) == ["long", "short"]
+    assert time.monotonic() - started < 5
+
+
+def test_clashing_names_and_nulls(spark):
+    documents = spark.createDataFrame([(None, "two words here", 1), (None, "two words", 2), (5, None, 3)], "_row long, _text string, key int")
+    items = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    got = decontaminate(documents, items, text="_text")
+    assert got.columns == documents.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, None, 3)], key=str)
+    assert sorted(r.key for r in decontaminate(documents, items, text="_text", most_covered=0.9).collect()) == [1, 3]
