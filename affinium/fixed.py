@@ -88,6 +88,9 @@ VALIDATION_FRACTION = 0.15
 BATCH_SIZE = 64
 TEMPERATURE = 0.07
 EMBED_DIM = 128
+HIDDEN = 256
+ID_DIM = 16
+LAYER_DROPOUT = 0.2
 LEARNING_RATE = 1e-3
 WEIGHT_DECAY = 1e-4
 MODALITY_DROPOUT = 0.3

@@ -1,5 +1,6 @@
-"""Linear fusion of text and metadata into one unit vector, trained with the
-contrastive loss by data-parallel gradients.
+"""Fusion of text and metadata into one unit vector, trained with the
+contrastive loss by parallel workers. Here the linear fusion; `network` holds
+the one with hidden layers.
 
 The parameters are a table `(modality, idx, weights)`, one row per input
 dimension and idx -1 for the bias. Vocabularies are capped, so the model has a
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +63,22 @@ class FusionModel:
         return [name for name in fixed.MODALITIES if name in self.weights]
 
     def copy(self) -> FusionModel:
-        return FusionModel({k: v.copy() for k, v in self.weights.items()},
-                           {k: v.copy() for k, v in self.bias.items()})
+        return type(self)({k: v.copy() for k, v in self.weights.items()},
+                          {k: v.copy() for k, v in self.bias.items()})
+
+    def zeros(self) -> FusionModel:
+        return type(self)({k: np.zeros_like(v) for k, v in self.weights.items()},
+                          {k: np.zeros_like(v) for k, v in self.bias.items()})
+
+    def forward(self, inputs: dict, keep: np.ndarray | None, rng: np.random.Generator | None = None):
+        """Unit vectors, and what the backward pass needs; a linear fusion has no units to drop."""
+        z, lengths = fuse(self, inputs, keep)
+        return z, (inputs, keep, z, lengths)
+
+    def backward(self, tape: tuple, dz: np.ndarray, into: FusionModel) -> None:
+        """Add the parameter gradient of one batch to `into`."""
+        inputs, keep, z, lengths = tape
+        fuse_gradient(self, inputs, keep, z, lengths, dz, into)
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(name, -1, self.bias[name].tolist()) for name in self.bias]
@@ -73,14 +89,18 @@ class FusionModel:
     @classmethod
     def from_frame(cls, params: DataFrame) -> FusionModel:
         """Model-sized read: capped vocabularies times the embedding size."""
+        from affinium.operators.network import FusionNetwork
+
         weights, bias = {}, {}
         table = params.orderBy("modality", "idx").toArrow()
-        names = np.array(table["modality"].to_pylist())
-        rows = matrix(table["weights"])
-        for name in dict.fromkeys(names):
-            own = rows[names == name]
-            bias[str(name)], weights[str(name)] = own[0], own[1:]
-        return cls(weights, bias)
+        names, at = np.array(table["modality"].to_pylist()), table["idx"].to_numpy()
+        for name in map(str, dict.fromkeys(names)):
+            own = names == name
+            rows = matrix(table["weights"].filter(pa.array(own)))
+            if at[own][0] < 0:
+                bias[name], rows = rows[0], rows[1:]
+            weights[name] = rows
+        return (FusionNetwork if "fuse" in weights else cls)(weights, bias)
 
 
 def _input_columns(table: pa.Table | dict) -> dict[str, object]:
@@ -154,7 +174,7 @@ def embed(encoded: DataFrame, model: FusionModel, drop: tuple[str, ...] = ()) ->
     def vectors(*columns: pa.Array) -> pa.Array:
         inputs = _input_columns(dict(zip(INPUTS, columns, strict=True)))
         keep = np.tile(flags, (len(columns[0]), 1))
-        z, _ = fuse(shared.value, inputs, keep)
+        z, _ = shared.value.forward(inputs, keep)
         return vector_column(z, pa.float32())
 
     return encoded.withColumn("embedding", vectors(*INPUTS))
@@ -173,6 +193,16 @@ def embed_text(texts: DataFrame, model: FusionModel) -> DataFrame:
 # --- training -------------------------------------------------------------
 
 
+def batch_gradient(model: FusionModel, run: pa.Table, temperature: float, jaccard: bool,
+                   rng: np.random.Generator | None, into: FusionModel) -> float:
+    """Loss of one batch; its gradient is added to `into`."""
+    inputs, keep = _input_columns(run), matrix(run["keep"])
+    z, tape = model.forward(inputs, keep, rng)
+    loss, _, dz = info_nce(z, pair_weights(*inputs["genres"], run.num_rows, jaccard), temperature)
+    model.backward(tape, dz, into)
+    return loss
+
+
 def gradient_sums(batched: DataFrame, shared: Broadcast, temperature: float, jaccard: bool) -> DataFrame:
     """Summed gradients of all batches, one row per touched parameter row, and
     the loss totals in the row `('', 0)`.
@@ -180,7 +210,7 @@ def gradient_sums(batched: DataFrame, shared: Broadcast, temperature: float, jac
     Every task adds up its own batches first; the sums of the tasks meet in an
     ordinary aggregation, so the result has the size of the model.
     """
-    dim = shared.value.embed_dim
+    dim = max(block.shape[1] for block in shared.value.weights.values())
     schema = "modality string, idx int, loss double, items long, batches long, grad array<double>"
 
     def rows_of(name: str, block: np.ndarray, first: int) -> pa.RecordBatch:
@@ -194,15 +224,10 @@ def gradient_sums(batched: DataFrame, shared: Broadcast, temperature: float, jac
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        total = FusionModel({k: np.zeros_like(v) for k, v in model.weights.items()},
-                            {k: np.zeros_like(v) for k, v in model.bias.items()})
+        total = model.zeros()
         loss_sum, n_items, n_batches = 0.0, 0, 0
         for run in key_runs(batches, "batch_id"):
-            inputs, keep = _input_columns(run), matrix(run["keep"])
-            z, lengths = fuse(model, inputs, keep)
-            weights = pair_weights(*inputs["genres"], run.num_rows, jaccard)
-            loss, _, dz = info_nce(z, weights, temperature)
-            fuse_gradient(model, inputs, keep, z, lengths, dz, total)
+            loss = batch_gradient(model, run, temperature, jaccard, None, total)
             loss_sum, n_items, n_batches = loss_sum + loss * run.num_rows, n_items + run.num_rows, n_batches + 1
         if n_batches:
             yield pa.RecordBatch.from_pydict(
@@ -211,6 +236,7 @@ def gradient_sums(batched: DataFrame, shared: Broadcast, temperature: float, jac
             )
             for name in model.weights:
                 yield rows_of(name, total.weights[name], 0)
+            for name in model.bias:
                 yield rows_of(name, total.bias[name][None, :], -1)
 
     narrow = batched.select("batch_id", "row_id", "keep", *INPUTS)
@@ -230,8 +256,7 @@ def mean_gradient(batched: DataFrame, model: FusionModel, temperature: float = f
     shared = batched.sparkSession.sparkContext.broadcast(model)
     table = gradient_sums(batched, shared, temperature, jaccard).toArrow()
     shared.unpersist()
-    grad = FusionModel({k: np.zeros_like(v) for k, v in model.weights.items()},
-                       {k: np.zeros_like(v) for k, v in model.bias.items()})
+    grad = model.zeros()
     loss, items, batches = 0.0, 0, 0
     names, at = table["modality"].to_pylist(), table["idx"].to_pylist()
     for row, name in enumerate(names):
@@ -239,7 +264,7 @@ def mean_gradient(batched: DataFrame, model: FusionModel, temperature: float = f
             loss, items, batches = (table[c][row].as_py() for c in ("loss", "items", "batches"))
     for row, name in enumerate(names):
         if name:
-            value = np.array(table["grad"][row].as_py()) / batches
+            value = np.array(table["grad"][row].as_py()[: model.weights[name].shape[1]], float) / batches
             if at[row] < 0:
                 grad.bias[name] = value
             else:
@@ -253,7 +278,7 @@ def fused_losses(batched: DataFrame, shared: Broadcast, temperature: float, jacc
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in key_runs(batches, "batch_id"):
             inputs = _input_columns(run)
-            z, _ = fuse(shared.value, inputs, None)
+            z, _ = shared.value.forward(inputs, None)
             weights = pair_weights(*inputs["genres"], run.num_rows, jaccard)
             loss, _, _ = info_nce(z, weights, temperature)
             yield pa.RecordBatch.from_pydict({"n_items": [run.num_rows], "loss": [loss]})
@@ -281,77 +306,119 @@ class AdamW:
             value -= self.lr * (mean / (1 - 0.9**self.step)) / rate
 
 
-# Rows of consecutive batches that one task steps through: its size, whatever the catalog holds.
-STRETCH_ROWS = 1 << 14
-
+# Steps that a worker takes between two meetings, and how many steps a meeting may carry the model on.
+LOCAL_STEPS = 4
+REACH = 32
+# Parameter rows that are added up in one group.
+ROWS_ADDED = 256
+PARTS = ("model", "mean", "square")
+ROUND = "part string, modality string, slice int, loss double, items long, at array<int>, value array<double>"
 
-def stretch_steps(batched: DataFrame, shared: Broadcast, temperature: float, jaccard: bool) -> DataFrame:
-    """One optimiser step per batch, in the order of `batch_id`, from the shared (model, optimizer).
 
-    A step needs the parameters of the one before, so the batches run in one
-    task; callers bound their number. The result has one row per parameter
-    row and `part` (model, mean, square), and the totals in the row `('', '', 0)`.
-    """
-    schema = "part string, modality string, idx int, loss double, items long, steps long, value array<double>"
+def worker_count(batches: int, local_steps: int) -> int:
+    """Workers of an epoch: as many as a meeting's reach allows, and at least two meetings an epoch."""
+    return max(1, min(REACH // local_steps, batches // (2 * local_steps)))
 
-    def rows_of(part: str, name: str, block: np.ndarray, first: int) -> pa.RecordBatch:
-        n = len(block)
-        return pa.RecordBatch.from_pydict(
-            {"part": pa.array([part] * n, pa.string()), "modality": pa.array([name] * n, pa.string()),
-             "idx": pa.array(np.arange(first, first + n), pa.int32()), "loss": pa.nulls(n, pa.float64()),
-             "items": pa.nulls(n, pa.int64()), "steps": pa.nulls(n, pa.int64()),
-             "value": vector_column(block, pa.float64())}
-        )
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A worker may see the shared value again, so the steps are taken on a copy.
-        model, optimizer = copy.deepcopy(shared.value)
-        loss_sum, n_items, n_steps = 0.0, 0, 0
-        for run in key_runs(batches, "batch_id"):
-            inputs, keep = _input_columns(run), matrix(run["keep"])
-            z, lengths = fuse(model, inputs, keep)
-            weights = pair_weights(*inputs["genres"], run.num_rows, jaccard)
-            loss, _, dz = info_nce(z, weights, temperature)
-            grad = FusionModel({k: np.zeros_like(v) for k, v in model.weights.items()},
-                               {k: np.zeros_like(v) for k, v in model.bias.items()})
-            fuse_gradient(model, inputs, keep, z, lengths, dz, grad)
-            optimizer.update(model, grad)
-            loss_sum, n_items, n_steps = loss_sum + loss * run.num_rows, n_items + run.num_rows, n_steps + 1
-        if n_steps:
-            yield pa.RecordBatch.from_pydict(
-                {"part": pa.array([""]), "modality": pa.array([""]), "idx": pa.array([0], pa.int32()),
-                 "loss": [loss_sum], "items": [n_items], "steps": [n_steps],
-                 "value": pa.array([None], pa.list_(pa.float64()))}
-            )
-            for (kind, name), moments in optimizer.moments.items():
-                first = -1 if kind == "bias" else 0
-                for part, block in zip(PARTS, (getattr(model, kind)[name], *moments), strict=True):
-                    yield rows_of(part, name, np.atleast_2d(block), first)
 
-    narrow = batched.select("batch_id", "row_id", "keep", *INPUTS)
-    return narrow.repartition(1).sortWithinPartitions("batch_id", "row_id").mapInArrow(task, schema)
+def _rested(start: tuple[FusionModel, AdamW], steps: int) -> tuple[FusionModel, AdamW]:
+    """Model and optimiser after so many steps without a gradient: where all rows go that no batch touches."""
+    model, optimizer = copy.deepcopy(start)
+    still = model.zeros()
+    for _ in range(steps):
+        optimizer.update(model, still)
+    return model, optimizer
 
 
-PARTS = ("model", "mean", "square")
+def local_steps(batched: DataFrame, shared: Broadcast, temperature: float, jaccard: bool, draw: tuple[int, int]) -> DataFrame:
+    """What the workers of one round add to the shared (model, optimizer), summed over them.
 
+    Each worker takes a step per batch of its own, in order. It reports the
+    rows of parameters and moments that differ from resting, so its result
+    grows with its batches, and in the rows `('', '', steps)` the totals of all
+    workers with so many steps.
+    """
 
-def step_per_batch(batched: DataFrame, model: FusionModel, optimizer: AdamW, first: int, stop: int,
-                   temperature: float, jaccard: bool) -> tuple[float, int]:
-    """Take the steps of batches first..stop-1; changes model and optimizer, returns summed loss and items."""
-    shared = batched.sparkSession.sparkContext.broadcast((model, optimizer))
-    share = batched.filter(F.col("batch_id").between(first, stop - 1))
-    table = stretch_steps(share, shared, temperature, jaccard).toArrow()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in key_runs(batches, "worker"):
+            # A task may see the shared value again, so the steps are taken on a copy.
+            model, optimizer = copy.deepcopy(shared.value)
+            loss, items, steps = 0.0, 0, 0
+            for run in key_runs(iter(own.to_batches()), "batch_id"):
+                grad = model.zeros()
+                rng = np.random.default_rng([*draw, run["batch_id"][0].as_py()])
+                loss += batch_gradient(model, run, temperature, jaccard, rng, grad) * run.num_rows
+                optimizer.update(model, grad)
+                items, steps = items + run.num_rows, steps + 1
+            rest, rest_optimizer = _rested(shared.value, steps)
+            rows = [("", "", steps, loss, items, [1], [1.0])]
+            for (kind, name), moments in optimizer.moments.items():
+                found = (getattr(model, kind)[name], *moments)
+                rested = (getattr(rest, kind)[name], *rest_optimizer.moments[kind, name])
+                for part, a, b in zip(PARTS, found, rested, strict=True):
+                    apart = np.atleast_2d(a - b)
+                    touched = np.flatnonzero(apart.any(axis=1))
+                    for number in np.unique(touched // ROWS_ADDED):
+                        at = touched[touched // ROWS_ADDED == number]
+                        rows.append((part, f"{kind}:{name}", int(number), None, None, at, apart[at].reshape(-1)))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "modality", "slice", "loss", "items", "at", "value"])
+
+    def added(group: pa.Table) -> pa.Table:
+        at = one_array(group["at"]).flatten().to_numpy()
+        values = one_array(group["value"]).flatten().to_numpy().reshape(len(at), -1)
+        places, back = np.unique(at, return_inverse=True)
+        total = np.zeros((len(places), values.shape[1]))
+        np.add.at(total, back, values)
+        head = group.slice(0, 1).select(["part", "modality", "slice"])
+        for name, value, kind in (
+            ("loss", pa.compute.sum(group["loss"]).as_py(), pa.float64()), ("items", pa.compute.sum(group["items"]).as_py(), pa.int64()),
+            ("at", places, pa.list_(pa.int32())), ("value", total.reshape(-1), pa.list_(pa.float64())),
+        ):
+            head = head.append_column(name, pa.array([value], kind))
+        return head
+
+    narrow = batched.select("worker", "batch_id", "row_id", "keep", *INPUTS)
+    return narrow.mapInArrow(task, ROUND).groupBy("part", "modality", "slice").applyInArrow(added, ROUND)
+
+
+def take_round(batched: DataFrame, model: FusionModel, optimizer: AdamW, temperature: float, jaccard: bool,
+               draw: tuple[int, int]) -> tuple[float, int]:
+    """One meeting of the workers; changes model and optimizer, returns summed loss and items.
+
+    The workers' steps are added, as if taken one after the other from the
+    same place; beyond REACH steps in all they count as REACH. Moments are
+    averaged.
+    """
+    start = (model.copy(), copy.deepcopy(optimizer))
+    shared = batched.sparkSession.sparkContext.broadcast(start)
+    table = local_steps(batched, shared, temperature, jaccard, draw).toArrow()
     shared.unpersist()
-    parts, names = np.array(table["part"].to_pylist()), np.array(table["modality"].to_pylist())
-    at = table["idx"].to_numpy()
-    head = int(np.flatnonzero(parts == "")[0])
+    rows = table.to_pylist()
+    heads = [row for row in rows if not row["part"]]
+    workers = {row["slice"]: round(row["value"][0]) for row in heads}
+    count, taken = sum(workers.values()), sum(steps * n for steps, n in workers.items())
+    share = {"model": min(1.0, REACH / taken), "mean": 1 / count, "square": 1 / count}
     for (kind, name), moments in optimizer.moments.items():
-        for part, block in zip(PARTS, (getattr(model, kind)[name], *moments), strict=True):
-            own = np.flatnonzero((parts == part) & (names == name) & ((at < 0) == (kind == "bias")))
-            own = own[np.argsort(at[own])]
-            block[...] = matrix(table["value"].take(pa.array(own))).reshape(block.shape)
-    optimizer.step += table["steps"][head].as_py()
-    return table["loss"][head].as_py(), table["items"][head].as_py()
+        for moment in moments:
+            moment[...] = 0.0
+    for steps, n in workers.items():
+        rest, rest_optimizer = _rested(start, steps)
+        for (kind, name), moments in optimizer.moments.items():
+            getattr(model, kind)[name] += share["model"] * n * (getattr(rest, kind)[name] - getattr(start[0], kind)[name])
+            for moment, rested in zip(moments, rest_optimizer.moments[kind, name], strict=True):
+                moment += n / count * rested
+    for row in rows:
+        if row["part"]:
+            kind, name = row["modality"].split(":", 1)
+            found = (getattr(model, kind)[name], *optimizer.moments[kind, name])[PARTS.index(row["part"])]
+            value = share[row["part"]] * np.array(row["value"]).reshape(len(row["at"]), -1)
+            if kind == "bias":
+                found += value[0]
+            else:
+                found[row["at"]] += value
+    optimizer.step += max(workers)
+    return sum(row["loss"] for row in heads), sum(row["items"] for row in heads)
 
 
 def validation_batches(encoded: DataFrame, batch_size: int) -> DataFrame:
@@ -390,32 +457,38 @@ def train_fusion(
     rounds: int | None = None,
     decay: float = fixed.WEIGHT_DECAY,
     report: Callable[[int, float, float], None] | None = None,
+    workers: int | None = None,
+    steps: int = LOCAL_STEPS,
 ) -> tuple[FusionModel, list[tuple[int, float, float]]]:
     """Contrastive training with early stopping; returns the best model.
 
     `train` and `validation` hold the encoded inputs, best as stored tables.
-    An epoch shuffles the rows into batches once and takes a step per batch,
-    in the shuffled order. With `rounds` it takes so many averaged steps
-    instead, each over its share of the batches: less training, in parallel.
+    An epoch shuffles the rows into batches once. Workers, a task each, take
+    a step per batch, `steps` of them between two meetings (`take_round`), so
+    an epoch has batches / (workers * steps) rounds. One worker steps through
+    all batches in their order; by default their number follows the batches.
+    With `rounds` an epoch takes so many averaged steps instead.
     """
     optimizer = AdamW(model, lr, decay)
     held = validation_batches(validation, batch_size)
+    n_train = train.count()
     best, best_loss, waited, history = model.copy(), float("inf"), 0, []
     for epoch in range(1, epochs + 1):
         batched = assign_batches(train.select("row_id", *INPUTS), seed, epoch, batch_size)
         batched = keep_flags(batched, modality_dropout, seed, epoch)
+        count, loss, items = (n_train // batch_size if rounds is None else 0), 0.0, 0
+        crew = workers or worker_count(count, steps)
         if rounds is None:
-            # Stored by ranges of batches, so that a stretch reads its own blocks only.
-            batched = batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "row_id")
+            # A partition holds one worker's batches of all rounds, in order, so that a round moves no rows.
+            place = F.pmod("batch_id", F.lit(crew * steps))
+            batched = batched.withColumn("round", F.floor(F.col("batch_id") / (crew * steps)))
+            batched = batched.withColumn("worker", F.floor(place / steps).cast("int"))
+            batched = batched.repartitionByRange(crew, "worker").sortWithinPartitions("round", "worker", "batch_id", "row_id")
         batched = batched.persist()
-        loss, items = 0.0, 0
-        if rounds is None:
-            last = batched.agg(F.max("batch_id").alias("last")).first()["last"]
-            count, stretch = 0 if last is None else int(last) + 1, max(STRETCH_ROWS // batch_size, 1)
-            for first in range(0, count, stretch):
-                stop = min(first + stretch, count)
-                part_loss, part_items = step_per_batch(batched, model, optimizer, first, stop, temperature, jaccard)
-                loss, items = loss + part_loss, items + part_items
+        for number in range(-(-count // (crew * steps))):
+            share = batched.filter(F.col("round") == number)
+            part_loss, part_items = take_round(share, model, optimizer, temperature, jaccard, (seed, epoch))
+            loss, items = loss + part_loss, items + part_items
         for part in range(rounds or 0):
             share = batched.filter(F.pmod("batch_id", F.lit(rounds)) == part) if rounds > 1 else batched
             grad, part_loss, part_items = mean_gradient(share, model, temperature, jaccard)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from affinium import fixed
 from affinium.operators import contrastive as con
 from affinium.operators import fusion as fu
+from affinium.operators.network import FusionNetwork
 
 SIZES = {"genres": 4, "director": 3, "writer": 2, "cast": 5}
 
@@ -162,10 +163,8 @@ def test_training_lowers_the_loss(spark):
     assert fu.validation_loss(val, best, 0.5, False, 16) == pytest.approx(min(h[2] for h in history), abs=1e-9)
 
 
-@pytest.mark.parametrize("stretch", [1 << 14, 32])
-def test_training_takes_a_step_per_batch(spark, monkeypatch, stretch):
-    """The default equals stepping through the batches one after the other, whatever a task holds."""
-    monkeypatch.setattr(fu, "STRETCH_ROWS", stretch)
+def test_one_worker_takes_a_step_per_batch(spark):
+    """One worker equals stepping through the batches one after the other, however often it reports."""
     data = encoded(spark, 100).drop("batch_id", "keep")
     want, losses = fu.FusionModel.create(6, SIZES, 4), []
     optimizer = fu.AdamW(want, 0.05)
@@ -180,7 +179,7 @@ def test_training_takes_a_step_per_batch(spark, monkeypatch, stretch):
             losses[-1] += loss / 96
     got = fu.FusionModel.create(6, SIZES, 4)
     _, history = fu.train_fusion(data, data, got, epochs=2, batch_size=16, lr=0.05, temperature=0.5,
-                                 modality_dropout=0.3, seed=7)
+                                 modality_dropout=0.3, seed=7, workers=1, steps=6)
     assert [h[1] for h in history] == pytest.approx(losses, abs=1e-9)
     for name in want.weights:
         assert got.weights[name] == pytest.approx(want.weights[name], abs=1e-9)
@@ -192,3 +191,110 @@ def test_early_stopping(spark):
     model = fu.FusionModel.create(6, SIZES, 4)
     _, history = fu.train_fusion(data, data, model, epochs=6, batch_size=16, lr=0.0, patience=2, rounds=1)
     assert len(history) == 3
+
+
+def test_workers_add_their_steps(spark, monkeypatch):
+    """A round equals separate walks from the same start, added up; rounds have a task per worker and no single one."""
+    data = encoded(spark, 100).drop("batch_id", "keep")
+    batched = fu.keep_flags(fu.assign_batches(data.select("row_id", *fu.INPUTS), 7, 1, 16), 0.3, 7, 1).persist()
+    for reach in (32, 3):
+        monkeypatch.setattr(fu, "REACH", reach)
+        start, walks = fu.FusionModel.create(6, SIZES, 4), []
+        for worker in range(3):
+            model = start.copy()
+            optimizer = fu.AdamW(model, 0.05)
+            for at in (2 * worker, 2 * worker + 1):
+                optimizer.update(model, fu.mean_gradient(batched.filter(f"batch_id = {at}"), model, 0.5)[0])
+            walks.append((model, optimizer))
+        got = start.copy()
+        fu.train_fusion(data, data, got, epochs=1, batch_size=16, lr=0.05, temperature=0.5, modality_dropout=0.3, seed=7,
+                        workers=3, steps=2)
+        for name in start.weights:
+            moved = sum(m.weights[name] - start.weights[name] for m, _ in walks) * min(1, reach / 6)
+            assert got.weights[name] == pytest.approx(start.weights[name] + moved, abs=1e-9)
+    plans = []
+    real = fu.take_round
+    monkeypatch.setattr(fu, "take_round", lambda part, *rest: plans.append(part.rdd.getNumPartitions()) or real(part, *rest))
+    fu.train_fusion(data, data, start.copy(), epochs=1, batch_size=16, workers=3, steps=1)
+    assert plans == [3, 3]
+
+
+def test_workers_follow_the_batches():
+    assert [fu.worker_count(n, 4) for n in (0, 1, 8, 18, 64, 10**6)] == [1, 1, 1, 2, 8, 8]
+
+
+@pytest.fixture(scope="module")
+def network():
+    return FusionNetwork.create(6, SIZES, 4, seed=3, hidden=5, id_dim=2)
+
+
+def test_network_gradient_matches_finite_differences(spark, network):
+    """One entry of every block of weights and biases."""
+    df = encoded(spark).persist()
+    grad, _, items = fu.mean_gradient(df, network, 0.5)
+    assert items == 48
+    runs = [df.filter(f"batch_id = {b}").orderBy("row_id").toArrow() for b in (0, 1)]
+
+    def loss(model):
+        return sum(fu.batch_gradient(model, run, 0.5, False, None, model.zeros()) for run in runs) / len(runs)
+
+    for kind in ("weights", "bias"):
+        for name, block in getattr(network, kind).items():
+            slopes = np.zeros_like(block)
+            for at in np.ndindex(block.shape):
+                sides = []
+                for sign in (1, -1):
+                    moved = network.copy()
+                    getattr(moved, kind)[name][at] += sign * 1e-5
+                    sides.append(loss(moved))
+                slopes[at] = (sides[0] - sides[1]) / 2e-5
+            assert getattr(grad, kind)[name] == pytest.approx(slopes, abs=1e-5), (kind, name)
+    df.unpersist()
+
+
+def test_network_drops_units_alike(network, spark):
+    """A draw is that of its seed, keeps the mean, and is off when embedding."""
+    run = encoded(spark, 24, batches=1).orderBy("row_id").toArrow()
+    losses = [fu.batch_gradient(network, run, 0.5, False, np.random.default_rng(s), network.zeros()) for s in (1, 1, 2)]
+    assert losses[0] == losses[1] != losses[2]
+    x = np.ones((4000, 6))
+    kept, gate = network._hidden("text", x, np.random.default_rng(0))
+    plain, _ = network._hidden("text", x, None)
+    assert kept.mean(axis=0) == pytest.approx(plain.mean(axis=0), rel=0.06)
+
+
+def test_network_round_trip_and_embedding(spark, network):
+    loaded = fu.FusionModel.from_frame(network.to_frame(spark))
+    assert type(loaded) is FusionNetwork
+    for kind in ("weights", "bias"):
+        assert {k: v.tolist() for k, v in getattr(loaded, kind).items()} == {k: v.tolist() for k, v in getattr(network, kind).items()}
+    df = encoded(spark)
+    text = np.array([r["text"] for r in df.orderBy("row_id").collect()])
+    hidden = np.maximum(text @ network.weights["text"] + network.bias["text"], 0)
+    joined = np.zeros((48, network.weights["fuse"].shape[0]))
+    joined[:, :4] = hidden @ network.weights["text_out"] + network.bias["text_out"]
+    u = np.maximum(joined @ network.weights["fuse"] + network.bias["fuse"], 0) @ network.weights["fuse_out"] + network.bias["fuse_out"]
+    got = fu.embed(df, network, tuple(fixed.MODALITIES)).orderBy("row_id").collect()
+    assert np.array([r["embedding"] for r in got]) == pytest.approx(u / np.linalg.norm(u, axis=1, keepdims=True), abs=1e-5)
+    bare = FusionNetwork.create(6, SIZES | {"cast": 0}, 4, hidden=5)
+    assert "cast" not in bare.metadata and bare.weights["fuse"].shape == (8 * 4, 5)
+
+
+def test_network_learns_what_a_linear_fusion_cannot(spark):
+    """Items are alike when two text components agree in sign: no linear map tells them apart."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        a, b = rng.choice([-1.0, 1.0], 2)
+        text = [a + 0.1 * rng.normal(), b + 0.1 * rng.normal(), 1.0, 0.0, 0.0, 0.0]
+        rows.append((i, [float(x) for x in text], [int(a * b > 0)], [], 0, 0, 0.0, 0.0, 0.0, 0.0))
+    data = spark.createDataFrame(rows, "row_id long, text array<float>, genre_idx array<int>, cast_idx array<int>, director_idx int, "
+                                 "writer_idx int, year_n double, rating_n double, duration_n double, votes_n double")
+    train, val = data.filter("row_id < 192"), data.filter("row_id >= 192")
+    best = {}
+    for kind in (fu.FusionModel, FusionNetwork):
+        options = {"hidden": 16} if kind is FusionNetwork else {}
+        _, history = fu.train_fusion(train, val, kind.create(6, SIZES, 4, **options), epochs=6, batch_size=48, lr=0.02,
+                                     temperature=0.5, workers=1)
+        best[kind] = min(h[2] for h in history)
+    assert best[FusionNetwork] < best[fu.FusionModel] - 0.1
