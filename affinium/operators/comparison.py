@@ -11,8 +11,8 @@ def side_by_side(long_table: DataFrame, keys: list[str], runs: list[str], value:
     return long_table.groupBy(*keys).pivot("run", runs).agg(F.first(value))
 
 
-def settings_table(configs: DataFrame, settings: list[str], runs: list[str]) -> DataFrame:
-    """Run configs `(run, <settings...>)` to setting × run; absent settings show `-`."""
+def settings_rows(configs: DataFrame, settings: list[str]) -> DataFrame:
+    """Run configs `(run, <settings...>)` to `(run, setting, value)`, whatever runs there are; absent settings show `-`."""
     shown = [
         F.struct(
             F.lit(name).alias("setting"),
@@ -22,7 +22,12 @@ def settings_table(configs: DataFrame, settings: list[str], runs: list[str]) ->
         )
         for name in settings
     ]
-    return side_by_side(configs.select("run", F.inline(F.array(*shown))), ["setting"], runs)
+    return configs.select("run", F.inline(F.array(*shown)))
+
+
+def settings_table(configs: DataFrame, settings: list[str], runs: list[str]) -> DataFrame:
+    """The same as setting × run, for the given runs."""
+    return side_by_side(settings_rows(configs, settings), ["setting"], runs)
 
 
 def same_test_split(configs: DataFrame) -> DataFrame:

@@ -325,18 +325,14 @@ def run_configs(spark, folder):
     ).withColumn("run", F.col("data"))
 
 
-SOURCES = [f"src{i}" for i in range(20)]
-
-
-@register("jn10_settings_table", f"""with c as (select source, count(*) epochs, count(distinct lang) embed_dim
+@register("jn10_settings_table", """with c as (select source, count(*) epochs, count(distinct lang) embed_dim
   from documents group by 1),
-s as (select source, unnest([{{'k': 'data', 'v': source}}, {{'k': 'text_model', 'v': '-'}}, {{'k': 'finetune_text', 'v': '-'}},
-  {{'k': 'embed_dim', 'v': embed_dim::varchar}}, {{'k': 'hidden_dim', 'v': '-'}}, {{'k': 'modality_dropout', 'v': '-'}},
-  {{'k': 'jaccard', 'v': '-'}}, {{'k': 'epochs', 'v': epochs::varchar}}, {{'k': 'seed', 'v': '42'}}]) e from c)
-select e.k setting, {', '.join(f"max(e.v) filter (source = '{run}') {run}" for run in SOURCES)}
-from s group by 1""")
+s as (select source, unnest([{'k': 'data', 'v': source}, {'k': 'text_model', 'v': '-'}, {'k': 'finetune_text', 'v': '-'},
+  {'k': 'embed_dim', 'v': embed_dim::varchar}, {'k': 'hidden_dim', 'v': '-'}, {'k': 'modality_dropout', 'v': '-'},
+  {'k': 'jaccard', 'v': '-'}, {'k': 'epochs', 'v': epochs::varchar}, {'k': 'seed', 'v': '42'}]) e from c)
+select source run, e.k setting, coalesce(e.v, '-') "value" from s""")
 def jn10(spark, folder):
-    return comparison.settings_table(run_configs(spark, folder), fixed.COMPARED_SETTINGS, SOURCES)
+    return comparison.settings_rows(run_configs(spark, folder), fixed.COMPARED_SETTINGS)
 
 
 @register("agg12_comparable", "select count(distinct source) = 1 comparable from documents")

@@ -15,6 +15,7 @@ from affinium.operators.relevance import (
     relevant_counts,
     signature_counts,
 )
+from affinium.plans import runs
 from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
 from affinium.plans.runs import evaluate_variants
@@ -51,6 +52,38 @@ def flt8(spark, folder):
     return lookup.match_titles(tb.catalog(spark, folder), TITLES)
 
 
+# Whole titles, pieces of them in other case, short pieces and unknown titles: thousands, from the tables themselves.
+ASKED = ["concat(p_name, ' ', p_brand)", "upper(p_name)", "substr(p_brand, 3, 20)", "substr(concat(p_name, ' ', p_brand), 4, 9)",
+         "substr(p_name, 2, 2)", "substr(p_name, 1, 1)", "concat(p_name, '!')", "p_type", "substr(p_name, 50, 3)"]
+
+
+def asked_titles(spark, folder):
+    part = tb.table(spark, folder, "part")
+    return part.select(F.explode(F.array(*[F.expr(e) for e in ASKED])).alias("query")).distinct()
+
+
+@register("flt8_title_table", f"""with {q.CATALOG}, w as (select distinct unnest([{", ".join(ASKED)}]) query from part),
+names as (select lower(title) n, min(row_id) row_id from catalog group by 1),
+m as (select query, row_id, (n <> lower(query))::int cls from w join names on contains(n, lower(query)))
+select query, row_id from m qualify row_number() over (partition by query order by cls, row_id) = 1""")
+def flt8_table(spark, folder):
+    return lookup.match_title_table(tb.catalog(spark, folder), asked_titles(spark, folder))
+
+
+@register("top1_similar_titles", f"""with {q.INDEX}, w as (select distinct unnest([{", ".join(ASKED)}]) query from part),
+names as (select lower(title) n, min(row_id) row_id from indexed group by 1),
+m as (select query, row_id, (n <> lower(query))::int cls from w join names on contains(n, lower(query))),
+asked as (select query, row_id from m qualify row_number() over (partition by query order by cls, row_id) = 1),
+scored as (select a.row_id q_id, c.row_id, round(list_inner_product(a.embedding, c.embedding), 9) score
+  from indexed a join indexed c on a.row_id <> c.row_id where a.row_id in (select row_id from asked)),
+ranked as (select *, row_number() over (partition by q_id order by score desc, row_id) "rank" from scored)
+select query, r.row_id, round(score, 6) score, "rank"::int "rank" from asked join ranked r on r.q_id = asked.row_id where "rank" <= 5""")
+def top1_titles(spark, folder):
+    index = stored_index(spark, folder)
+    found = runs.similar_titles(index, asked_titles(spark, folder), 5)
+    return found.select("query", "row_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register("flt9_index_guard", f"""with {q.INDEX} select (select count(*) from catalog) catalog_rows,
     count(*) index_rows, count(*) filter (len(embedding) <> 64) wrong_dim,
     (select count(*) from catalog where row_id not in (select row_id from indexed)) not_indexed from indexed""")

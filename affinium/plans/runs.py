@@ -12,8 +12,9 @@ from affinium.functions import vectors as vec
 from affinium.operators import collecting, comparison, topk
 from affinium.operators.encoding import encode, fit_encoder
 from affinium.operators.fusion import FusionModel, embed, embed_text, train_fusion
-from affinium.operators.lookup import check_dimension, check_index, find_item
+from affinium.operators.lookup import check_dimension, check_index, find_item, match_title_table
 from affinium.operators.metrics import metrics_at_k
+from affinium.operators.network import FusionNetwork
 from affinium.operators.ordering import split_catalog
 from affinium.operators.projection import embedding_map, result_map
 from affinium.operators.relevance import mark_hits, relevant_counts
@@ -72,8 +73,13 @@ def train(
     patience: int = fixed.PATIENCE,
     decay: float = fixed.WEIGHT_DECAY,
     cap: int = fixed.VOCABULARY_CAP,
+    hidden: int = fixed.HIDDEN,
+    workers: int | None = None,
 ) -> list[tuple[int, float, float]]:
-    """Ingest, split, fit, encode, train; leaves a complete run folder."""
+    """Ingest, split, fit, encode, train; leaves a complete run folder.
+
+    The model is the fusion network; with `hidden` 0 the linear fusion.
+    """
     encoder = encoder or HashedTextEncoder()
     folder = Run(spark, run)
     # The catalog is written before the split reads it three times.
@@ -88,10 +94,13 @@ def train(
         items = with_text(folder.split(name), encoder, f"{run}/features")
         return materialise(encode(items, state), f"inputs-{name}")
 
-    start = FusionModel.create(encoder.dim, sizes, embed_dim, seed)
+    if hidden:
+        start = FusionNetwork.create(encoder.dim, sizes, embed_dim, seed, hidden)
+    else:
+        start = FusionModel.create(encoder.dim, sizes, embed_dim, seed)
     model, history = train_fusion(
         inputs("train"), inputs("val"), start, epochs, batch_size, lr, temperature,
-        modality_dropout, jaccard, seed, patience, rounds, decay=decay,
+        modality_dropout, jaccard, seed, patience, rounds, decay=decay, workers=workers,
     )
     folder.save_model(model)
     if isinstance(encoder, TfidfTextEncoder):
@@ -100,7 +109,7 @@ def train(
         {
             "data": data if isinstance(data, str) else "table",
             "text_model": encoder.name, "finetune_text": False, "text_dim": encoder.dim,
-            "epochs": epochs, "embed_dim": embed_dim, "batch_size": batch_size, "lr": lr,
+            "epochs": epochs, "embed_dim": embed_dim, "hidden_dim": hidden, "batch_size": batch_size, "lr": lr,
             "temperature": temperature, "modality_dropout": modality_dropout, "jaccard": jaccard,
             "seed": seed, "n_genres": sizes["genres"], "n_directors": sizes["director"],
             "n_writers": sizes["writer"], "n_cast": sizes["cast"], "use_cast": sizes["cast"] > 0,
@@ -167,6 +176,25 @@ def similar(spark: SparkSession, run: str, title: str, k: int = 10) -> DataFrame
     return topk.present(topk.similar_to_row(index, find_item(index, title), k))
 
 
+def similar_titles(index: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame:
+    """Items most similar to each of a table of titles `(query)`: `(query, row_id, score, rank)`.
+
+    Titles are matched as by `similar`; unknown ones have no rows.
+    """
+    matched = materialise(match_title_table(index, titles), "matched-titles")
+    known = matched.select("row_id").distinct()
+    queries = index.join(known, "row_id", "left_semi").select(F.col("row_id").alias("q_id"), "embedding")
+    ranked = topk.rank_catalog(materialise(queries, "title-vectors"), index, k)
+    return matched.withColumnRenamed("row_id", "q_id").join(ranked, "q_id").drop("q_id")
+
+
+def similar_many(spark: SparkSession, run: str, titles: DataFrame, k: int = 10) -> DataFrame:
+    """`similar` for a table of titles over a run's index."""
+    folder = Run(spark, run)
+    check_dimension(folder.index_info(), folder.config()["embed_dim"])
+    return similar_titles(folder.index(), titles, k)
+
+
 def search(spark: SparkSession, run: str, text: str, k: int = 10, encoder: TextEncoder | None = None) -> DataFrame:
     """Items matching a free text: text-only query against full embeddings."""
     folder = Run(spark, run)

@@ -79,6 +79,28 @@ def test_find_item(spark):
         lookup.find_item(index, "x.z")
 
 
+def test_title_table(spark, monkeypatch):
+    """Against the rule of one title, with lists split to groups of a few pairs and every kind of query."""
+    rng = np.random.default_rng(8)
+    titles = [" ".join(rng.choice(["The", "ring", "Ring", "red", "ÀB", "a.c", "x", ""], rng.integers(1, 4))) for _ in range(300)]
+    index = spark.createDataFrame([*enumerate(titles), (300, None)], "row_id long, title string")
+    asked = {t[i : i + n] for t in titles[:80] for i, n in ((0, 99), (1, 5), (2, 3), (0, 2), (3, 1), (1, 8))}
+    asked |= {t.upper() for t in titles[:40]} | {"", "zzz", "ring zz", "A.C", "%", "no such title"}
+    names = [t.lower() for t in titles]
+    want = {}
+    for query in asked:
+        found = [(n != query.lower(), i) for i, n in enumerate(names) if query.lower() in n]
+        if found:
+            want[query] = min(found)[1]
+    df = spark.createDataFrame([(t,) for t in [*asked, None, "ring", "ring"]], "query string")
+    for pairs in (lookup.PAIRS, 5):
+        monkeypatch.setattr(lookup, "PAIRS", pairs)
+        got = lookup.match_title_table(index, df).collect()
+        assert {r["query"]: r["row_id"] for r in got} == want and len(got) == len(want)
+    assert lookup.match_title_table(index.limit(0), df).collect() == []
+    assert lookup.match_title_table(index, df.limit(0)).collect() == []
+
+
 def test_check_index(spark):
     catalog = spark.createDataFrame([(0, "a"), (1, "b")], "row_id long, title string")
     good = frame(spark, [[1, 0], [0, 1]])
