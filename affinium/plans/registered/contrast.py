@@ -10,6 +10,7 @@ from affinium.functions import vectors as vec
 from affinium.operators import contrastive as con
 from affinium.operators import ordering
 from affinium.operators.fusion import FusionModel, embed, train_fusion
+from affinium.operators.network import FusionNetwork
 from affinium.operators.textvec import BatchTextEncoder, HashedTextEncoder, Md5TextEncoder, PrecomputedEncoder, TfidfTextEncoder
 from affinium.plans.registered import register
 from affinium.plans.registered import sql as q
@@ -182,6 +183,90 @@ def ml2(spark, folder):
     )
 
 
+# A small network whose every weight follows from its block, row and column, so that SQL can say it.
+NETWORK = {"hidden": 3, "embed_dim": 2, "id_dim": 2}
+BLOCKS = ["text", "text_out", *fixed.MODALITIES, "director_proj", "writer_proj", "fuse", "fuse_out"]
+BIAS_ROW = 99
+
+
+def letter_shares():
+    """Toy text model: length, letters e and spaces, as exact fractions."""
+    import numpy as np
+
+    def encode(texts):
+        return np.array([[len(t), t.count("e"), t.count(" ")] for t in texts], float) / 4096
+
+    return encode
+
+
+def weight(block: str, row: int, column: int) -> float:
+    return ((row * 7 + column * 3 + BLOCKS.index(block)) % 11 - 5) / 16
+
+
+def ruled_network(sizes: dict[str, int]) -> FusionNetwork:
+    net = FusionNetwork.create(3, sizes, **NETWORK)
+    for name, block in net.weights.items():
+        block[...] = [[weight(name, i, j) for j in range(block.shape[1])] for i in range(len(block))]
+    for name, bias in net.bias.items():
+        bias[...] = [weight(name, BIAS_ROW, j) for j in range(len(bias))]
+    return net
+
+
+def network_sql() -> str:
+    """The same network over the encoded inputs, layer by layer."""
+    embed, hidden, id_dim = NETWORK["embed_dim"], NETWORK["hidden"], NETWORK["id_dim"]
+
+    def cell(block: str, row: str, column: int) -> str:
+        return f"(((({row}) * 7 + {column * 3 + BLOCKS.index(block)}) % 11 - 5) / 16.0::double)"
+
+    def dense(block: str, entries: list[str], width: int) -> list[str]:
+        return [" + ".join([f"{e} * {weight(block, i, j)}::double" for i, e in enumerate(entries)] + [f"{weight(block, BIAS_ROW, j)}::double"])
+                for j in range(width)]
+
+    text = [f"greatest({e}, 0)" for e in dense("text", ["x[1]", "x[2]", "x[3]"], hidden)]
+    parts = dense("text_out", [f"t[{i + 1}]" for i in range(hidden)], embed)
+    for name in fixed.MODALITIES:
+        if name in ("genres", "cast"):
+            parts += [f"coalesce(list_sum(list_transform({name}_idx, lambda i: {cell(name, 'i', j)})), 0) + {weight(name, BIAS_ROW, j)}::double"
+                      for j in range(embed)]
+        elif name in ("director", "writer"):
+            parts += dense(f"{name}_proj", [cell(name, f"{name}_idx", r) for r in range(id_dim)], embed)
+        else:
+            parts += dense(name, [f"{name}_n"], embed)
+    fused = [f"greatest({e}, 0)" for e in dense("fuse", [f"p[{i + 1}]" for i in range(len(parts))], hidden)]
+    out = dense("fuse_out", [f"h[{i + 1}]" for i in range(hidden)], embed)
+    return f"""with {q.VOCAB},
+g as (select row_id, list(distinct idx::int) genres_idx
+      from (select row_id, unnest(genres) as value from labelled) join genre_vocab using (value) group by 1),
+c as (select row_id, list(distinct idx::int) cast_idx
+      from (select row_id, unnest("cast") as value from labelled) join cast_vocab using (value) group by 1),
+inputs as (
+  select l.row_id, coalesce(genres_idx, []::int[]) genres_idx, coalesce(cast_idx, []::int[]) cast_idx,
+    coalesce(d.idx, 0) director_idx, coalesce(w.idx, 0) writer_idx,
+    [length(description) / 4096::double, (length(description) - length(replace(description, 'e', ''))) / 4096::double,
+     (length(description) - length(replace(description, ' ', ''))) / 4096::double] x,
+    least(greatest((coalesce("year", (year_min + year_max) / 2) - year_min) / greatest(year_max - year_min, 1), 0), 1) year_n,
+    (coalesce(rating, rating_mean) - rating_mean) / greatest(rating_std, 1e-6) rating_n,
+    (coalesce(duration, duration_mean) - duration_mean) / greatest(duration_std, 1e-6) duration_n,
+    (ln(1 + coalesce(votes, 0)) - votes_log_mean) / greatest(votes_log_std, 1e-6) votes_n
+  from labelled l left join g using (row_id) left join c using (row_id)
+  left join director_vocab d on l.director = d.value left join writer_vocab w on l.writer = w.value, stats),
+one as (select *, [{", ".join(text)}] t from inputs),
+two as (select row_id, [{", ".join(parts)}] p from one),
+three as (select row_id, [{", ".join(fused)}] h from two),
+four as (select row_id, [{", ".join(out)}] u from three)
+select row_id, list_transform(u, lambda v: round((v / greatest(sqrt(list_inner_product(u, u)), 1e-12))::float::double, 4)) embedding from four"""
+
+
+@register("ml2_network_vectors", network_sql())
+def ml2_network(spark, folder):
+    """The network with hidden layers on fixed weights; the twin compares its values."""
+    encoder = BatchTextEncoder("letter-shares", 3, letter_shares)
+    inputs = materialise(encoder.transform(encoded(spark, folder), "description", "text"), "inputs")
+    found = embed(inputs, ruled_network(vocab_sizes(inputs)))
+    return found.select("row_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+
+
 @register("ml3_training_history")
 def ml3(spark, folder):
     inputs = fusion_inputs(spark, folder)

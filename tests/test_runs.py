@@ -58,7 +58,7 @@ def test_compare(spark, trained):
     tables = runs.compare(spark, trained, ["ring", "no such title"], 5)
     settings = {r["setting"]: r for r in tables["settings"].collect()}
     assert settings["seed"][trained[0]] == "42" and settings["seed"][trained[1]] == "7"
-    assert settings["hidden_dim"][trained[0]] == "-"
+    assert settings["hidden_dim"][trained[0]] == "256"
     assert tables["comparable"].first()["comparable"] is False
     assert tables["metrics"].count() == 45
     overlap = tables["overlap"].collect()
