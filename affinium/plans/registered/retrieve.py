@@ -8,6 +8,7 @@ from affinium.functions import text as tx
 from affinium.functions import vectors as vec
 from affinium.operators import lookup, topk
 from affinium.operators.metrics import metrics_at_k, query_metrics
+from affinium.operators.pruned import rank_pruned
 from affinium.operators.relevance import (
     mark_hits,
     overlapping_pairs,
@@ -167,6 +168,14 @@ def top4(spark, folder):
     return ranking(spark, folder).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("top4_pruned_ranking", f'with {q.RANKING} select q_id, row_id, score, "rank" from ranking')
+def top4_pruned(spark, folder):
+    """The same by pivots and bounds; blocks of a size that small tables have several of."""
+    items = tb.labelled_vectors(spark, folder)
+    ranked, _ = rank_pruned(queries_of(items), items, 10, block_items=256)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
+
+
 @register("top4_block_grid_ranking", f'with {q.RANKING} select q_id, row_id, score, "rank" from ranking')
 def top4_grid(spark, folder):
     """The same ranking by the path for query tables beyond the broadcast limit."""
