@@ -46,6 +46,8 @@ CHUNKS, SYMBOLS, BITS = 8, 4, 16
 MOST_DIFFERENT = 20
 # Longs of bits that mark what a class has beside its leader.
 REST = 8
+# Members of one key that a task pairs with as many others.
+BLOCK_MEMBERS = 4096
 # Shingles hashed at once inside a task.
 STEP = 1 << 15
 
@@ -116,11 +118,12 @@ def _sign(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("code"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     *[pa.array(signed[:, i]) for i in range(CHUNKS)],
                 ],
-                ["id", "n_shingles", "class", *CHUNK_NAMES],
+                ["id", "code", "n_shingles", "class", *CHUNK_NAMES],
             )
 
     return run
@@ -221,16 +224,34 @@ def near_duplicates(
 
     component_id is the smallest key reachable by links, itself included;
     kept says that it is the document's own. A document without words, a
-    null text or a null key links with nothing. Rows that repeat a key are
-    documents of their own that share its name. Ties cannot occur: links
+    null text or a null key links with nothing. Keys are whole numbers.
+    Rows that repeat a key are documents of their own that share its name;
+    rows with equal sets are compared as one. Ties cannot occur: links
     depend on sets alone. An empty table gives an empty result; other
     columns are ignored. The node of a class is 64 bits of its set's hash.
     """
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, n_shingles long, class long, " + ", ".join(f"{c} long" for c in CHUNK_NAMES)
+    return _linked(_rows(documents, key, text), size, percent).select(
+        F.col("id").alias(key), "n_shingles", "component_id", "kept"
+    )
+
+
+def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Ids and texts, and 64 bits that stand for a text."""
+    return documents.select(
+        F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("code")
+    )
+
+
+def _linked(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows (id, code, n_shingles, component_id, kept, chosen) for rows (id, text, code).
+
+    chosen holds for the one text of each component with the smallest key, and for rows that link with nothing.
+    """
+    schema = "id long, code long, n_shingles long, class long, " + ", ".join(f"{c} long" for c in CHUNK_NAMES)
     signed = materialise(rows.mapInArrow(_sign(size), schema), "minhash-signatures")
     classes = (
-        signed.where("class is not null and id is not null").groupBy("class", *CHUNK_NAMES).agg(F.min("id").alias("id"))
+        signed.where("class is not null and id is not null").groupBy("class", *CHUNK_NAMES)
+        .agg(F.min(F.struct("id", "code")).alias("least")).select("class", *CHUNK_NAMES, "least.id", "least.code")
     )
     classes = materialise(classes, "minhash-classes")
     filed = materialise(classes.select("class", F.posexplode(_keys()).alias("place", "key")), "minhash-keys")
@@ -243,8 +264,10 @@ def near_duplicates(
     )
     shared = materialise(shared.select("key", "place", "class").join(leaders, "key"), "minhash-led")
     first = shared.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    needed = shared.select("class").distinct().join(classes.select("class", "id"), "class")
-    texts = materialise(rows.join(needed, "id").select("class", "text"), "minhash-texts")
+    needed = shared.select("class").distinct().join(classes.select("class", "id", "code"), "class")
+    # One text per class, however often its row is repeated.
+    texts = rows.join(needed, ["id", "code"]).select("class", "text").dropDuplicates(["class"])
+    texts = materialise(texts, "minhash-texts")
     compared = _with_texts(first, texts).mapInArrow(
         _compare(size, percent, True),
         "a long, b long, linked boolean, both long, rest long, n long, hidden long, "
@@ -261,21 +284,29 @@ def near_duplicates(
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
             F.max(F.when(F.col("class") == F.col("leader"), F.col("component"))).alias("main"),
+            F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"),
         )
-        .where("low <> high").select("key", "main")
+        .where("low <> high").select("key", "main", "parts")
     )
     # The leader has been compared with all members, so it is no candidate any more.
     bounds = compared.drop("linked").withColumnsRenamed({"a": "leader", "b": "class"})
     members = (
         named.where("class <> leader").join(mixed, "key")
-        .join(bounds, ["leader", "class"]).join(classes.drop("id"), "class")
+        .join(bounds, ["leader", "class"]).join(classes.drop("id", "code"), "class")
     )
     members = materialise(members, "minhash-members")
     values = ["class", "component", "both", "rest", "n", "hidden", *REST_NAMES, *CHUNK_NAMES]
-    strays = members.where("component <> main").select("key", "place", *[F.col(c).alias(f"a_{c}") for c in values])
-    others = members.select("key", "main", *[F.col(c).alias(f"b_{c}") for c in values])
+    # Members of a large key are cut into blocks, which meet two by two.
+    block = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    strays = members.where("component <> main").select(
+        "key", "place", block.alias("left"), each.alias("right"), *[F.col(c).alias(f"a_{c}") for c in values]
+    )
+    others = members.select(
+        "key", "main", block.alias("right"), each.alias("left"), *[F.col(c).alias(f"b_{c}") for c in values]
+    )
     # A pair of two strays is taken once, any pair only under the first key that it shares.
-    second = strays.join(others, "key").where(
+    second = strays.join(others, ["key", "left", "right"]).where(
         (F.col("a_component") != F.col("b_component"))
         & ((F.col("b_component") == F.col("main")) | (F.col("a_class") < F.col("b_class")))
         & _may_link(percent)
@@ -293,25 +324,32 @@ def near_duplicates(
     joined = components(bridges, "minhash-bridges").select(
         F.col("id").alias("component"), F.col("component").alias("whole")
     )
-    final = labels.withColumnRenamed("id", "class").join(joined, "component", "full").select(
-        F.coalesce("class", "component").alias("class"), F.coalesce("whole", "component").alias("node")
-    ).distinct()
+    # A bridge may also end in a class without links to a leader, which is no component's member yet.
+    final = (
+        labels.withColumnRenamed("id", "class").join(joined, "component", "left")
+        .select("class", F.coalesce("whole", "component").alias("node"))
+        .union(joined.select("component", "whole")).distinct()
+    )
     nodes = materialise(
-        classes.select("class", "id").join(final, "class", "left").select(
-            "class", "id", F.coalesce("node", "class").alias("node")
+        classes.select("class", "id", "code").join(final, "class", "left").select(
+            "class", "id", "code", F.coalesce("node", "class").alias("node")
         ),
         "minhash-nodes",
     )
-    least = nodes.groupBy("node").agg(F.min("id").alias("component_id"))
-    named = nodes.join(least, "node").select("class", "component_id")
+    least = nodes.groupBy("node").agg(F.min(F.struct("id", "code")).alias("least"))
+    named = nodes.join(least, "node").select(
+        "class", F.col("least.id").alias("component_id"), F.col("least.code").alias("lead")
+    )
     alone = F.col("id").isNull() | F.col("class").isNull()
-    placed = signed.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("class")).alias("class"))
+    placed = signed.select(
+        "id", "code", "n_shingles", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")
+    )
     result = placed.join(named, "class", "left").withColumn(
         "component_id", F.when(alone, F.col("id")).otherwise(F.col("component_id"))
     )
-    return result.select(
-        F.col("id").alias(key), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    chosen = alone | (kept & (F.col("code") == F.col("lead")))
+    return result.select("id", "code", "n_shingles", "component_id", kept.alias("kept"), chosen.alias("chosen"))
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -321,13 +359,30 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b")
 
 
-def drop_near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are kept, one of each component, with their own columns.
+def drop_near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The documents that are kept, one row of each component, with their own columns.
 
-    Of rows that repeat the kept key all stay; rows without a key stay.
+    That is a row with the component's smallest key; of several texts under
+    that key the one with the smallest hash, of rows that repeat key and
+    text any one. Rows without words or without a key link with nothing and
+    all stay. An empty table gives an empty result.
     """
-    kept = near_duplicates(documents, key, text, **options).where("kept").select(F.col(key).alias("_kept")).distinct()
-    return documents.join(kept, documents[key].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    linked = _linked(_rows(documents, key, text), size, percent).where("chosen and id is not null")
+    copies = materialise(
+        linked.groupBy("id", "code", "n_shingles").agg(F.count("*").alias("copies")), "minhash-kept"
+    )
+    # Few rows repeat, if any: a table of their own is small enough to be looked up.
+    repeated = materialise(copies.where("copies > 1 and n_shingles > 0").select("id", "code"), "minhash-repeated")
+    single = copies.where("copies = 1 or n_shingles = 0").select("id", "code")
+    keys = [documents[key].cast("long"), F.xxhash64(documents[text])]
+
+    def of(kept: DataFrame) -> DataFrame:
+        return documents.join(kept, (keys[0] == kept["id"]) & (keys[1] == kept["code"]), "left_semi")
+
+    nameless = documents.where(documents[key].cast("long").isNull())
+    return of(single).union(nameless).union(of(repeated).dropDuplicates([key, text]))
 
 
 @query("op1_minhash_near_dedup")

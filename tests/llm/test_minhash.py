@@ -103,6 +103,50 @@ def test_kept_rows_keep_their_columns(spark):
     )
 
 
+def test_one_row_of_each_component_stays(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (5, "h i j k l m n"),
+            (7, near), (7, near + " x"), (7, near), (9, near + " y"),
+            (3, None), (3, None), (4, ""), (4, ""), (None, near), (None, near)]
+    df = spark.createDataFrame([(k, t, "p", 1) for k, t in rows], "doc_id long, text string, id string, code int")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    stay = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    sevens = [r for r in stay if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0][1] in (near, near + " x")
+    assert [r for r in stay if r[0] != 7] == sorted(
+        [(1, "a b c d e f g"), (5, "h i j k l m n"), (3, None), (3, None), (4, ""), (4, ""), (None, near), (None, near)],
+        key=str,
+    )
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_repeats_are_compared_once(spark, family, block, monkeypatch):
+    """A table united with itself links alike and meets as many pairs; keys cut into blocks give the same."""
+    from affinium.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", block)
+    compared = []
+    real = minhash.materialise
+
+    def counting(df, name, *rest):
+        out = real(df, name, *rest)
+        if name in ("minhash-texts", "minhash-star"):
+            compared.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counting)
+    counts = []
+    for times in (1, 30):
+        rows = [(k, t) for k, t in family for _ in range(times)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = near_duplicates(df, size=4).distinct().collect()
+        assert sorted(map(tuple, got), key=str) == sorted(set(brute(family, 4, 80)), key=str)
+        counts.append(list(compared))
+        compared.clear()
+    assert counts[0] == counts[1]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == []
