@@ -7,7 +7,7 @@ extra columns, whatever their names, go along. Null and empty texts have no
 terms, words, windows or secrets: no stage drops them, and packing gives each
 its end token. Rows without an id are documents like others, but take no part
 in near-duplicate links. Repeated rows are judged alike; of near-duplicates
-the row with the smallest id stays, all rows of that id with it. Long texts
+one row with the smallest id stays. Long texts
 are read whole. An empty table gives an empty result.
 """
 
