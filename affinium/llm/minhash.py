@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from affinium.llm.common import SPACES, components, flat_words, small_slices
 from affinium.llm.registry import query, table
+from affinium.operators.skew import join_totals
 from affinium.session import materialise
 
 SHINGLE_WORDS = 5
@@ -256,13 +257,14 @@ def _linked(rows: DataFrame, size: int, percent: int) -> DataFrame:
     classes = materialise(classes, "minhash-classes")
     filed = materialise(classes.select("class", F.posexplode(_keys()).alias("place", "key")), "minhash-keys")
     sizes = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = materialise(filed.join(sizes, "key"), "minhash-shared")
+    shared = materialise(join_totals(filed, sizes, "key", "members", "class"), "minhash-shared")
     met = shared.groupBy("class").agg(F.sum("members").alias("met"))
     leaders = (
         shared.join(met, "class").groupBy("key")
-        .agg(F.max(F.struct("met", "class"))["class"].alias("leader"))
+        .agg(F.max(F.struct("met", "class"))["class"].alias("leader"), F.max("members").alias("members"))
     )
-    shared = materialise(shared.select("key", "place", "class").join(leaders, "key"), "minhash-led")
+    led = join_totals(shared.select("key", "place", "class"), leaders, "key", "members", "class")
+    shared = materialise(led.drop("members"), "minhash-led")
     first = shared.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     needed = shared.select("class").distinct().join(classes.select("class", "id", "code"), "class")
     # One text per class, however often its row is repeated.
@@ -284,14 +286,15 @@ def _linked(rows: DataFrame, size: int, percent: int) -> DataFrame:
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
             F.max(F.when(F.col("class") == F.col("leader"), F.col("component"))).alias("main"),
-            F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("parts"),
+            F.count("*").alias("members"),
         )
-        .where("low <> high").select("key", "main", "parts")
+        .where("low <> high")
+        .select("key", "main", "members", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("parts"))
     )
     # The leader has been compared with all members, so it is no candidate any more.
     bounds = compared.drop("linked").withColumnsRenamed({"a": "leader", "b": "class"})
     members = (
-        named.where("class <> leader").join(mixed, "key")
+        join_totals(named.where("class <> leader"), mixed, "key", "members", "class").drop("members")
         .join(bounds, ["leader", "class"]).join(classes.drop("id", "code"), "class")
     )
     members = materialise(members, "minhash-members")
@@ -336,8 +339,10 @@ def _linked(rows: DataFrame, size: int, percent: int) -> DataFrame:
         ),
         "minhash-nodes",
     )
-    least = nodes.groupBy("node").agg(F.min(F.struct("id", "code")).alias("least"))
-    named = nodes.join(least, "node").select(
+    least = nodes.groupBy("node").agg(
+        F.min(F.struct("id", "code")).alias("least"), F.count("*").alias("members")
+    )
+    named = join_totals(nodes.select("node", "class"), least, "node", "members", "class").select(
         "class", F.col("least.id").alias("component_id"), F.col("least.code").alias("lead")
     )
     alone = F.col("id").isNull() | F.col("class").isNull()
