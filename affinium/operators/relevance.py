@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
-from affinium.operators.arrow import ragged_arrow
-from affinium.operators.blocks import block_grid
 from affinium.operators.skew import join_totals
+from affinium.operators.wide_sets import overlap_weights
 from affinium.session import materialise
 
 # Signatures up to this size are counted through their subsets (2^size - 1).
 SUBSET_LIMIT = 8
-# Block size and category values per step of the grid for wider ones.
-SIGNATURE_BLOCK = 2048
-VALUES_AT_ONCE = 2048
 
 
 def _subsets(categories: Column) -> Column:
@@ -46,61 +42,45 @@ def _narrow_overlaps(narrow: DataFrame) -> DataFrame:
     over the non-empty subsets T of S, of the items containing T. Work and
     shuffle grow with the signatures, not with their pairs.
     """
-    exploded = narrow.select("sig", "n_items", F.explode(_subsets(F.col("sig"))).alias("subset"))
+    exploded = narrow.select("sig_id", "n_items", F.explode(_subsets(F.col("sig"))).alias("subset"))
     totals = exploded.groupBy("subset").agg(
         F.sum("n_items").alias("containing"), F.count("*").alias("n_sigs")
     )
     sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
-    joined = join_totals(exploded.select("sig", "subset"), totals, "subset", "n_sigs", "sig")
-    return joined.groupBy("sig").agg(F.sum(sign * F.col("containing")).alias("n"))
-
-
-def _cell_overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Items of the right block overlapping each signature of the left block."""
-    (l_rows, l_values), (r_rows, r_values) = ragged_arrow(left["sig"]), ragged_arrow(right["sig"])
-    codes = pa.concat_arrays([l_values, r_values]).dictionary_encode().indices.to_numpy()
-    l_codes, r_codes = codes[: len(l_values)], codes[len(l_values) :]
-    shared = np.intersect1d(l_codes, r_codes)
-
-    def incidence(rows: np.ndarray, own: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-        inside = values[at] == own
-        out = np.zeros((n, len(values)), dtype=np.float32)
-        out[rows[inside], at[inside]] = 1.0
-        return out
-
-    hit = np.zeros((left.num_rows, right.num_rows), dtype=bool)
-    for start in range(0, len(shared), VALUES_AT_ONCE):
-        values = shared[start : start + VALUES_AT_ONCE]
-        a = incidence(l_rows, l_codes, values, left.num_rows)
-        hit |= (a @ incidence(r_rows, r_codes, values, right.num_rows).T) > 0
-    sigs = left["sig"].cast(pa.list_(pa.string()))
-    return pa.table({"sig": sigs, "n": pa.array(hit @ right["n_items"].to_numpy(), pa.int64())})
-
-
-def overlaps_per_signature(
-    signatures: DataFrame, subset_limit: int = SUBSET_LIMIT, block_rows: int = SIGNATURE_BLOCK
-) -> DataFrame:
+    joined = join_totals(exploded.select("sig_id", "subset"), totals, "subset", "n_sigs", "sig_id")
+    return joined.groupBy("sig_id").agg(F.sum(sign * F.col("containing")).alias("n"))
+
+
+def overlaps_per_signature(signatures: DataFrame, subset_limit: int = SUBSET_LIMIT, **options) -> DataFrame:
     """`(sig, n_items, n_overlapping)`: items sharing at least one category, self included.
 
-    Signatures too wide for subset counting meet all others in a block grid,
-    which is exact too; each block adds one partial count per signature. The
-    signatures are used several times, so they are written out once.
+    Signatures too wide for subset counting ask bitmaps of all signatures, and
+    the narrow ones bitmaps of the wide, which is exact too. The signatures
+    are used several times, so they are written out once.
     """
-    signatures = materialise(signatures, "signatures")
+    numbered = signatures.withColumn("sig_id", F.monotonically_increasing_id())
+    signatures = materialise(numbered, "signatures")
     narrow = signatures.filter(F.size("sig") <= subset_limit)
     wide = signatures.filter(F.size("sig") > subset_limit)
-    parts = _narrow_overlaps(narrow)
-    n_wide = wide.count()
-    if n_wide:
-        schema = "sig array<string>, n long"
-        for left, right in ((wide, signatures), (narrow, wide)):
-            parts = parts.unionByName(
-                block_grid(left, right, "sig", "sig", _cell_overlaps, schema, block_rows)
-            )
-    counted = parts.groupBy("sig").agg(F.sum("n").cast("long").alias("n_overlapping"))
+    sizes = signatures.agg(F.min(F.size("sig")).alias("least"), F.max(F.size("sig")).alias("most")).first()
+    any_narrow, any_wide = (sizes["least"] or 0) <= subset_limit, (sizes["most"] or 0) > subset_limit
+
+    def met(asking: DataFrame, held: DataFrame) -> DataFrame:
+        sets = [
+            part.select(F.col("sig_id").alias("set_id"), F.col("sig").alias("members"), F.col("n_items").alias("weight"))
+            for part in (asking, held)
+        ]
+        return overlap_weights(*sets, **options).withColumnRenamed("set_id", "sig_id")
+
+    parts = [_narrow_overlaps(narrow)] if any_narrow else []
+    if any_wide:
+        parts.append(met(wide, signatures))
+    if any_narrow and any_wide:
+        parts.append(met(narrow, wide))
+    counted = reduce(DataFrame.unionByName, parts)
+    counted = counted.groupBy("sig_id").agg(F.sum("n").cast("long").alias("n_overlapping"))
     # Sized by estimates that miss the explode above, so never broadcast.
-    return signatures.join(counted.hint("merge"), "sig")
+    return signatures.join(counted.hint("merge"), "sig_id").drop("sig_id")
 
 
 def relevant_counts(items: DataFrame, **options) -> DataFrame:

@@ -221,7 +221,7 @@ def jn5(spark, folder):
 select a.row_id, count(b.row_id) n_relevant
 from items a left join items b on a.row_id <> b.row_id and list_has_any(a.genres, b.genres) group by 1""")
 def jn5_wide(spark, folder):
-    """Sets too wide for subset counting: shared cast members through the block grid."""
+    """Sets too wide for subset counting: shared cast members by bitmaps."""
     items = tb.catalog_raw(spark, folder).select("row_id", F.split("Cast", ",").alias("genres"))
     return relevant_counts(items)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinium.operators import metrics, relevance, skew
+from affinium.operators import metrics, relevance, skew, wide_sets
 
 
 def genre_frame(spark, sets):
@@ -24,13 +24,34 @@ def brute_counts(sets):
     return {i: sum(bool(a & b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
 
 
-@pytest.mark.parametrize("subset_limit,block_rows", [(8, 2048), (2, 16), (0, 7)])
-def test_relevant_counts(spark, subset_limit, block_rows):
+@pytest.mark.parametrize("subset_limit,options", [(8, {}), (2, {"block_sets": 16}), (0, {"block_sets": 7, "questions": 50})])
+def test_relevant_counts(spark, subset_limit, options):
     sets = random_sets()
-    got = relevance.relevant_counts(genre_frame(spark, sets), subset_limit=subset_limit, block_rows=block_rows)
+    got = relevance.relevant_counts(genre_frame(spark, sets), subset_limit=subset_limit, **options)
     assert {r["row_id"]: r["n_relevant"] for r in got.collect()} == brute_counts(sets)
 
 
+def test_wide_sets_by_lists_and_bitmaps(spark, monkeypatch):
+    """One value that all share beside rare ones, sets wider than a step and a hot copy with a large weight."""
+    monkeypatch.setattr(wide_sets, "VALUES_AT_ONCE", 64)
+    rng = np.random.default_rng(5)
+    sets = [["all"] + [f"r{v}" for v in rng.integers(0, 4000, 12)] for _ in range(300)]
+    sets += [[f"r{v}" for v in rng.integers(0, 4000, 300)] for _ in range(5)]
+    sets += [[f"c{v}" for v in range(20)]] * 150 + [["c3"], [], ["alone"]]
+    got = relevance.relevant_counts(genre_frame(spark, sets), block_sets=512)
+    assert {r["row_id"]: r["n_relevant"] for r in got.collect()} == brute_counts(sets)
+
+
+def test_postings_choose_the_smaller_form():
+    codes = np.r_[np.zeros(1000, dtype=int), [1, 2, 2]]
+    rows = np.r_[np.arange(1000), [5, 7, 999]].astype(np.int32)
+    postings = wide_sets.Postings(rows, codes, 1000, 4)
+    assert postings.bitmap_at.tolist() == [0, -1, -1, -1]
+    united = postings.unite(np.array([0, 0, 1, 2]), np.array([1, 2, 0, 3]), 3)
+    weights = np.arange(1000) + 1
+    assert wide_sets._weigh(united, weights, postings).tolist() == [6 + 8 + 1000, 500_500, 0]
+
+
 def test_hot_keys_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(skew.join_totals, "__defaults__", (10,))
     sets = random_sets()
