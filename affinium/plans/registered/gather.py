@@ -343,24 +343,66 @@ def agg12(spark, folder):
 # --- projection -------------------------------------------------------------------
 
 
-@register("agg14_principal_components")
+def leading_component(at: int) -> str:
+    """Views of the unit eigenvector and value of matrix m<at> (i, j, v), and m<at + 1>, the matrix without them.
+
+    Repeated squaring lets the largest eigenvalue outgrow the others; a row of the power is its eigenvector.
+    """
+    return f"""
+powers{at} as (
+  select 0 step, i, j, v / (select sum(v) from m{at} where i = j) v from m{at}
+  union all
+  select step + 1, i, j, v / sum(v) filter (i = j) over () v from (
+    select a.step, a.i, b.j, sum(a.v * b.v) v
+    from powers{at} a join powers{at} b on a.j = b.i and a.step = b.step where a.step < 24 group by all)),
+row{at} as (select j i, v from powers{at} where step = 24 and i = (
+  select i from powers{at} where step = 24 and i = j order by v desc, i limit 1)),
+vector{at} as materialized (
+  select i, v * (select sign(arg_max(v, abs(v))) from row{at}) / sqrt((select sum(v * v) from row{at})) v from row{at}),
+value{at} as materialized (
+  select sum(m.v * a.v * b.v) v from m{at} m join vector{at} a on a.i = m.i join vector{at} b on b.i = m.j),
+m{at + 1} as materialized (
+  select m.i, m.j, m.v - (select v from value{at}) * a.v * b.v v
+  from m{at} m join vector{at} a on a.i = m.i join vector{at} b on b.i = m.j)"""
+
+
+def components(rows: str) -> str:
+    """Views ending in placed (row_id, pc) and explained (ratios) of the vectors in `rows` (row_id, embedding)."""
+    return f"""entries as (
+  select row_id, unnest(range(1, len(embedding) + 1)) i, unnest(embedding)::double x from {rows}),
+centred as materialized (select row_id, i, x - avg(x) over (partition by i) x from entries),
+m1 as materialized (
+  select a.i, b.i j, sum(a.x * b.x) / (count(*) - 1) v from centred a join centred b using (row_id) group by all),
+{','.join(leading_component(at) for at in (1, 2, 3))},
+components as (
+  {' union all '.join(f"select {at} as nr, i, v from vector{at}" for at in (1, 2, 3))}),
+placed as (
+  select row_id, list(round(p, 6) order by nr) pc from (
+    select row_id, nr, sum(x * v) p from centred join components using (i) group by all) group by 1),
+explained as (
+  select list_transform([a.v, b.v, c.v], lambda x: x / t.v) ratios
+  from value1 a, value2 b, value3 c, (select sum(v) v from m1 where i = j) t)"""
+
+
+@register("agg14_principal_components", f"""with recursive {q.VECTORS}, {components('vectors')}
+select row_id, pc, list_transform(ratios, lambda x: round(x, 6)) explained from placed, explained""")
 def agg14(spark, folder):
     projection = principal_components(tb.vectors(spark, folder))
-    ratio = F.array(*[F.lit(x) for x in projection.explained])
+    ratio = F.array(*[F.lit(round(x, 6)) for x in projection.explained])
     return projection.rows.select("row_id", F.transform("pc", lambda x: F.round(x, 6)).alias("pc"),
                                   ratio.alias("explained"))
 
 
-@register("ml6_embedding_map", f"""with {q.INDEX}
+@register("ml6_embedding_map", f"""with recursive {q.INDEX},
+sampled as materialized (select * from indexed order by md5('0:' || row_id), row_id limit 300),
+{components('sampled')}
 select row_id, case when "year" is not null then title || ' (' || "year"::bigint || ')' else title end label,
-       coalesce(nullif(trim(genres[1]), ''), 'Unknown') category, 3 dims
-from indexed order by md5('0:' || row_id), row_id limit 300""")
+       coalesce(nullif(trim(genres[1]), ''), 'Unknown') category, pc[1] pc1, pc[2] pc2, pc[3] pc3,
+       round(list_sum(ratios), 6) explained
+from sampled join placed using (row_id), explained""")
 def ml6(spark, folder):
-    """The twin checks sample, labels and categories; the components have tests of their own."""
     index = materialise(tb.indexed_catalog(spark, folder), "index")
-    points = embedding_map(index, 300)
-    dims = sum(F.col(f"pc{at}").isNotNull().cast("int") for at in (1, 2, 3))
-    return points.select("row_id", "label", "category", dims.alias("dims"))
+    return embedding_map(index, 300).withColumns({name: F.round(name, 6) for name in ("pc1", "pc2", "pc3", "explained")})
 
 
 @register("ml7_result_map", f"""with {q.VECTORS},
