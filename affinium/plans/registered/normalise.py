@@ -48,6 +48,20 @@ def src1_row_ids(spark, folder):
     return cat.load_catalog(spark, path).select("row_id", "title", "year")
 
 
+@register("src1_split_csv", f"""with {q.CATALOG} select row_number() over (order by row_id) - 1 row_id, title, "year",
+description || chr(10) || '"' || chr(10) || title description from catalog""")
+def src1_split_csv(spark, folder):
+    """The same dump, its descriptions with line breaks, by the reader that cuts a file into blocks."""
+    path = fresh_path(spark, "dump") + ".csv"
+    clean = materialise(tb.catalog(spark, folder), "catalog")
+    lines = F.concat_ws("\n", "description", F.lit('"'), "title").alias("description")
+    named = clean.select("row_id", "title", "year", F.array_join("genres", ",").alias("genres"), lines)
+    named.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").drop("row_id").write.csv(
+        path, header=True, escape='"'
+    )
+    return cat.load_catalog(spark, path, split=True).select("row_id", "title", "year", "description")
+
+
 @register("src2_dataset_alias", "select p_partkey row_id, p_name as \"name\" from part")
 def src2(spark, folder):
     path = cat.resolve_dataset("small", folder, {"small": "part.parquet"})

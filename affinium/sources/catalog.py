@@ -13,6 +13,7 @@ from affinium import fixed
 from affinium.functions import text as tx
 from affinium.operators.dedupe import first_per_key
 from affinium.session import is_missing, materialise
+from affinium.sources.split_csv import read_records
 
 CATALOG_SCHEMA = T.StructType(
     [
@@ -65,9 +66,9 @@ def resolve_headers(columns: list[str]) -> dict[str, str]:
 def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw catalog rows from CSV (all text), JSON lines or Parquet, by suffix.
 
-    Descriptions may hold line breaks, so each CSV file is read by one task:
-    write a large dump as many files. A dump without line breaks inside
-    quotes is read in blocks with multi_line off.
+    Descriptions may hold line breaks, so each CSV file is read by one task;
+    `split_csv.read_records` reads a large one by many. A dump without line
+    breaks inside quotes is read in blocks with multi_line off.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
@@ -184,8 +185,13 @@ def normalise(raw: DataFrame) -> DataFrame:
     return first_per_key(valid, ["title", "year"], ["row_id"])
 
 
-def load_catalog(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Any supported catalog file or folder to the unified schema."""
+def load_catalog(spark: SparkSession, path: str, multi_line: bool = True, split: bool = False) -> DataFrame:
+    """Any supported catalog file or folder to the unified schema; `split` reads large CSV files by many tasks.
+
+    A split file's own `row_id` column is left for the number of the row.
+    """
+    if split:
+        return normalise(read_records(spark, path))
     raw = read_table(spark, path, multi_line)
     return normalise(checked_row_ids(raw) if "row_id" in raw.columns else with_row_ids(raw))
 
