@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from affinium.operators import collecting
 from affinium.plans import runs
+from affinium.plans.registered.runs import run_collect
 from affinium.sources import landed as ld
+from affinium.sources import tables as tb
 from affinium.sources.store import append_snapshot
 from affinium.streaming import ingest as st
 
@@ -171,3 +173,23 @@ def test_incremental_ingest(spark, tmp_path):
     assert run(ignore=ignore) == [(0, "One"), (4, "Two")]
     # A new stream over the same folder starts at batch 0 and adds nothing.
     assert run(str(tmp_path / "check2"), ignore) == [(0, "One"), (4, "Two")]
+
+
+@pytest.fixture
+def part_folder(spark, tmp_path):
+    """Tables of three parts, all of which have an English description."""
+    rows = {
+        "part": ([(i, f"hot bolt {i}", "Brand#1", "SMALL", 3, 1.0) for i in range(3)], tb.SCHEMAS["part"]),
+        "lineitem": ([], tb.SCHEMAS["lineitem"]),
+        "supplier": ([(1, "S", 1, 1.0)], tb.SCHEMAS["supplier"]),
+        "documents": ([(i, f"text {i}", "en", "src1", 6) for i in range(3)], tb.SCHEMAS["documents"]),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_run_collect_without_anything_new(spark, part_folder):
+    """All titles are known: an empty table instead of a missing path."""
+    got = run_collect(spark, part_folder)
+    assert got.collect() == [] and got.columns == ["Title", "Year", "Genre", "Description"]
