@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from affinium import fixed
 from affinium.functions import vectors as vec
 from affinium.operators import collecting, comparison, topk
+from affinium.operators.blocks import block_count
 from affinium.operators.metrics import metrics_at_k
 from affinium.operators.projection import embedding_map, principal_components, result_map
 from affinium.operators.relevance import mark_hits, relevant_counts
@@ -102,18 +103,24 @@ def set4(spark, folder):
     return spark.read.parquet(path)
 
 
+# Titles of landed responses are dealt to files of about this many rows, four at least.
+LANDED_ROWS = 100_000
+
+
 @register("str1_incremental_ingest", f"""with {KNOWN} select seq, requested, "Title" from films
     where lower(requested) not in (from known) and lower("Title") not in (from known)
     qualify row_number() over (partition by lower("Title") order by seq) = 1""")
 def str1(spark, folder):
     """All responses landed in title-disjoint files, streamed in twice; the second run adds nothing."""
     source, target, checkpoint = (fresh_path(spark, name) for name in ("landed", "collected", "checkpoint"))
-    parts = landed_films(spark, folder).repartition(4, F.lower("requested"))
+    files = max(4, block_count(tb.table(spark, folder, "part").count(), LANDED_ROWS))
+    parts = landed_films(spark, folder).repartition(files, F.lower("requested"))
     parts.write.json(source)
-    ignore = collecting.known_titles(english_titles(spark, folder))
+    ignore = materialise(collecting.known_titles(english_titles(spark, folder)), "known")
     for _ in range(2):
-        landed = st.read_landed(spark, source, files_per_batch=2)
-        st.ingest(landed, target, checkpoint, materialise(ignore, "known")).awaitTermination()
+        # Two batches, whatever the number of files.
+        landed = st.read_landed(spark, source, files_per_batch=-(-files // 2))
+        st.ingest(landed, target, checkpoint, ignore).awaitTermination()
     return spark.read.parquet(target).select("seq", "requested", "Title")
 
 

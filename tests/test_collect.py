@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from affinium.operators import collecting
 from affinium.plans import runs
+from affinium.plans.registered import gather
 from affinium.plans.registered.runs import run_collect
 from affinium.sources import landed as ld
 from affinium.sources import tables as tb
@@ -193,3 +194,22 @@ def test_run_collect_without_anything_new(spark, part_folder):
     """All titles are known: an empty table instead of a missing path."""
     got = run_collect(spark, part_folder)
     assert got.collect() == [] and got.columns == ["Title", "Year", "Genre", "Description"]
+
+
+def test_landed_files_follow_the_rows(spark, part_folder, monkeypatch):
+    """str1 deals its responses to more files as the table grows, and still takes them in two batches."""
+    seen = []
+    read = st.read_landed
+
+    def spy(session, folder, files_per_batch):
+        seen.append((files_per_batch, session.read.json(folder).select(F.input_file_name()).distinct().count()))
+        return read(session, folder, files_per_batch)
+
+    spark.range(40).select(F.col("id").alias("p_partkey"), F.concat(F.lit("t "), "id").alias("p_name"), F.lit("B").alias("p_brand"),
+                           F.lit("SMALL").alias("p_type"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")
+                           ).write.mode("overwrite").parquet(f"{part_folder}/part.parquet")
+    monkeypatch.setattr(gather, "LANDED_ROWS", 4)
+    monkeypatch.setattr(st, "read_landed", spy)
+    got = gather.str1(spark, part_folder)
+    assert got.count() == 37
+    assert seen[0][0] == 5 and 5 <= seen[0][1] <= 10
