@@ -18,6 +18,11 @@ BLOCK_ROWS = 16_384
 # Bytes of vectors, as doubles, in a block of the right side; the left side's is this many times larger.
 BLOCK_BYTES = 16 << 20
 LEFT_SHARE = 4
+# Pairs of blocks that a table of a few blocks is cut into, so that all cores have some, of no fewer left rows than this.
+CELLS = 24
+LEAST_ROWS = 1024
+# Blocks of a side with given block_rows, after which blocks grow to their bytes.
+MOST_BLOCKS = 16
 
 
 def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -45,14 +50,21 @@ def block_grid(
     """Apply `reduce_cell` to every (left block, right block) pair.
 
     Without block_rows, blocks are sized by the bytes of the `vector` column.
-    Each side is copied once per block of the other, so the left blocks are
-    the larger ones.
+    With both, block_rows holds for small tables only, as each side is copied
+    once per block of the other; the left blocks are the larger ones.
     """
     left_block = right_block = block_rows
-    if block_rows is None:
-        left_rows, left_block = rows_of(left, vector)
-        right_rows, right_block = rows_of(right, vector)
-        left_block *= LEFT_SHARE
+    if vector is not None:
+        left_rows, left_most = rows_of(left, vector)
+        right_rows, right_most = rows_of(right, vector)
+        left_most *= LEFT_SHARE
+        if block_rows is None:
+            right_block = right_most
+            per_side = -(-CELLS // block_count(right_rows, right_block))
+            left_block = min(left_most, max(LEAST_ROWS, block_count(left_rows, per_side)))
+        else:
+            left_block = max(block_rows, min(left_most, block_count(left_rows, MOST_BLOCKS)))
+            right_block = max(block_rows, min(right_most, block_count(right_rows, MOST_BLOCKS)))
     n_left = block_count(left.count() if left_rows is None else left_rows, left_block)
     n_right = block_count(right.count() if right_rows is None else right_rows, right_block)
 
@@ -61,7 +73,8 @@ def block_grid(
         # Fresh aliases: both sides may stem from one table.
         own_side = df.select(*[F.col(name).alias(name) for name in df.columns])
         placed = own_side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-        return placed.withColumn(other, copies)
+        # A given number of partitions: few bytes can be much work, so none are merged.
+        return placed.withColumn(other, copies).repartition(n_left * n_right, "_lb", "_rb")
 
     left_cells = spread(left, left_id, "_lb", n_left, "_rb", n_right)
     right_cells = spread(right, right_id, "_rb", n_right, "_lb", n_left)

@@ -142,7 +142,7 @@ def _visit(visits: DataFrame, filed: DataFrame, k: int, exclude_self: bool) -> D
         if not left.num_rows or not right.num_rows:
             nothing = np.zeros(0, np.int64)
             return _candidate_table(nothing, (nothing, nothing, np.zeros(0)))
-        best = _block_candidates(q_ids, matrix(left["embedding"]), right["row_id"].to_numpy(), matrix(right["embedding"]), k, exclude_self)
+        best = _block_candidates(q_ids, left["embedding"], right["row_id"].to_numpy(), matrix(right["embedding"]), k, exclude_self)
         return _candidate_table(q_ids, best)
 
     parts = visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))

@@ -11,8 +11,14 @@ from affinium.functions import vectors as vec
 from affinium.operators.arrow import matrix
 from affinium.operators.blocks import block_grid
 
-# Queries multiplied at once, which bounds the score matrix of a task.
+# Queries and items multiplied at once, which bounds the score matrix of a task; the first items only set the scores to beat.
 QUERY_CHUNK = 512
+ITEM_CHUNK = 8192
+FIRST_ITEMS = 1024
+# Pairs scored in double precision at once.
+PAIRS_AT_ONCE = 1 << 16
+# Vectors with larger entries are not multiplied in single precision.
+SINGLE_LIMIT = 1e15
 # Equal vectors must tie whatever kernel multiplied them.
 SCORE_DIGITS = 9
 
@@ -58,18 +64,64 @@ def _best(q_pos: np.ndarray, ids: np.ndarray, found: np.ndarray, k: int):
     return q_pos[kept], ids[kept], found[kept]
 
 
+def _exact_scores(queries: np.ndarray, items: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Rounded scores of single pairs."""
+    found = np.empty(len(rows))
+    for start in range(0, len(rows), PAIRS_AT_ONCE):
+        part = slice(start, start + PAIRS_AT_ONCE)
+        found[part] = np.einsum("ij,ij->i", queries[rows[part]], items[cols[part]])
+    return np.round(found, SCORE_DIGITS)
+
+
 def _block_candidates(q_ids, queries, ids, items, k, exclude_self):
-    """Top k of one block of items for every query, all ties at the edge considered."""
+    """Top k of one block of items for every query, by score and then by the lower id.
+
+    `queries` is a list column. Products in single precision, with a margin
+    for their error, only tell which pairs can beat the k-th score so far;
+    those are scored in double precision. Items come by rising id, so that an
+    equal score never beats a kept one.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, items = ids[order], items[order]
+    longest = np.sqrt((items**2).sum(axis=1).max(initial=0))
+    kind = np.float32 if max(longest, np.abs(items).max(initial=0)) < SINGLE_LIMIT else np.float64
+    rough_items = items.astype(kind)
     kept = []
     for start in range(0, len(q_ids), QUERY_CHUNK):
-        part_ids = q_ids[start : start + QUERY_CHUNK]
-        sims = np.round(queries[start : start + QUERY_CHUNK] @ items.T, SCORE_DIGITS)
-        if exclude_self:
-            sims[part_ids[:, None] == ids[None, :]] = -np.inf
-        edge = max(len(ids) - k, 0)
-        threshold = np.partition(sims, edge, axis=1)[:, edge]
-        rows, cols = np.nonzero((sims >= threshold[:, None]) & (sims > -np.inf))
-        kept.append(_best(rows + start, ids[cols], sims[rows, cols], k))
+        own = q_ids[start : start + QUERY_CHUNK]
+        asked = matrix(queries.slice(start, QUERY_CHUNK))
+        norms = np.sqrt((asked**2).sum(axis=1))
+        # Too long or not a number: no single precision for these queries.
+        rough_kind = kind if norms.max() < SINGLE_LIMIT else np.float64
+        rough, held = asked.astype(rough_kind), rough_items.astype(rough_kind, copy=False)
+        margin = (items.shape[1] + 2) * np.finfo(rough_kind).eps * norms * longest + 2 * 10.0**-SCORE_DIGITS
+        best = (np.zeros(0, np.int64), ids[:0], np.zeros(0))
+        edge = np.full(len(own), -np.inf)
+        at = 0
+        while at < len(ids):
+            end = min(at + (ITEM_CHUNK if at else FIRST_ITEMS), len(ids))
+            sims = rough @ held[at:end].T
+            low = edge - margin
+            if end - at > k and np.isneginf(edge).any():
+                if exclude_self:
+                    sims[own[:, None] == ids[None, at:end]] = -np.inf
+                low = np.fmax(low, np.partition(sims, end - at - k, axis=1)[:, end - at - k] - 2 * margin)
+            low = np.nextafter(low.astype(rough_kind), rough_kind(-np.inf))
+            rows, cols = np.divmod(np.flatnonzero(sims >= low[:, None]), end - at)
+            cols += at
+            if exclude_self:
+                others = own[rows] != ids[cols]
+                rows, cols = rows[others], cols[others]
+            found = _exact_scores(asked, items, rows, cols)
+            better = found > edge[rows]
+            if better.any():
+                new = (rows[better], ids[cols[better]], found[better])
+                best = _best(*(np.concatenate(pair) for pair in zip(best, new, strict=True)), k)
+                last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
+                full = last[np.diff(np.r_[-1, last]) == k]
+                edge[best[0][full]] = best[2][full]
+            at = end
+        kept.append((best[0] + start, *best[1:]))
     return tuple(np.concatenate(parts) for parts in zip(*kept, strict=True))
 
 
@@ -94,6 +146,8 @@ def rank_catalog(
 
     Returns `(q_id, row_id, score, rank)`. Blocks of queries meet blocks of
     items, each of bounded bytes; only k rows per query leave a pair of blocks.
+    With block_rows a table has at least as many blocks as rows / block_rows,
+    up to `blocks.MOST_BLOCKS`.
     """
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -102,8 +156,7 @@ def rank_catalog(
             nothing = np.zeros(0, np.int64)
             return _candidate_table(nothing, (nothing, nothing, np.zeros(0)))
         best = _block_candidates(
-            q_ids, matrix(left["embedding"]), right["row_id"].to_numpy(),
-            matrix(right["embedding"]), k, exclude_self,
+            q_ids, left["embedding"], right["row_id"].to_numpy(), matrix(right["embedding"]), k, exclude_self,
         )
         return _candidate_table(q_ids, best)
 

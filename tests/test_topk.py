@@ -1,11 +1,16 @@
 """Exact top-k against brute force, ties and copies included."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
 from affinium.operators import lookup, topk
+from affinium.operators.arrow import vector_column
+from affinium.operators.blocks import MOST_BLOCKS, block_grid
 
 SCHEMA = "row_id long, embedding array<float>"
 
@@ -57,6 +62,51 @@ def test_k_beyond_catalog(spark, block_rows):
     assert got == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
 
 
+def candidates(vectors, ids, k, exclude_self=True):
+    column = pa.chunked_array([vector_column(vectors, pa.float64())])
+    found = topk._block_candidates(ids, column, ids, vectors, k, exclude_self)
+    return [(ids[q], -score, i) for q, i, score in zip(*found, strict=True)]
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e9, 1e16])
+@pytest.mark.parametrize("k", [3, 40])
+def test_block_candidates_in_steps(monkeypatch, scale, k):
+    """Steps of few items, copies, tiny differences and vectors beyond single precision."""
+    monkeypatch.setattr(topk, "FIRST_ITEMS", 16)
+    monkeypatch.setattr(topk, "ITEM_CHUNK", 37)
+    monkeypatch.setattr(topk, "QUERY_CHUNK", 50)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-3, 4, (300, 5)).astype(float)
+    vectors[100:200] = vectors[0] + rng.integers(0, 2, (100, 1)) * 1e-7
+    vectors *= scale
+    ids = rng.permutation(1000)[:300]
+    want = []
+    for q, vector in zip(ids, vectors, strict=True):
+        scores = np.round(np.einsum("ij,ij->i", np.tile(vector, (300, 1)), vectors), topk.SCORE_DIGITS)
+        want += sorted((q, -score, i) for score, i in zip(scores, ids, strict=True) if i != q)[:k]
+    assert sorted(candidates(vectors, ids, k)) == sorted(want)
+
+
+def test_scores_held_are_bounded():
+    """512 queries against 60,000 items hold a step of the scores, not all of them (245 MB)."""
+    vectors = np.random.default_rng(7).normal(size=(60_000, 4))
+    column = pa.chunked_array([vector_column(vectors[:512], pa.float64())])
+    tracemalloc.start()
+    topk._block_candidates(np.arange(512), column, np.arange(60_000), vectors, 10, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+
+
+def test_blocks_grow_with_the_table(spark):
+    """Small block_rows must not copy a side hundreds of times."""
+    rows = frame(spark, np.ones((400, 3)))
+    count = lambda a, b: pa.table({"pairs": pa.array([a.num_rows * b.num_rows], pa.int64())})
+    other = rows.withColumnRenamed("row_id", "q_id")
+    cells = block_grid(other, rows, "q_id", "row_id", count, "pairs long", 2, vector="embedding").collect()
+    assert len(cells) <= MOST_BLOCKS**2 and sum(r["pairs"] for r in cells) == 400 * 400
+
+
 def test_single_query_ties_and_zero_vector(spark):
     items = frame(spark, [[0, 0], [1, 0], [2, 0], [-1, 0]])
     scored = topk.scores(items, topk.query_vector([1, 0]), vec.cosine)
