@@ -73,13 +73,14 @@ def _exact_scores(queries: np.ndarray, items: np.ndarray, rows: np.ndarray, cols
     return np.round(found, SCORE_DIGITS)
 
 
-def _block_candidates(q_ids, queries, ids, items, k, exclude_self):
+def _block_candidates(q_ids, queries, ids, items, k, exclude_self, beat=None):
     """Top k of one block of items for every query, by score and then by the lower id.
 
     `queries` is a list column. Products in single precision, with a margin
     for their error, only tell which pairs can beat the k-th score so far;
     those are scored in double precision. Items come by rising id, so that an
-    equal score never beats a kept one.
+    equal score never beats a kept one. Scores below `beat`, one per query,
+    do not matter.
     """
     order = np.argsort(ids, kind="stable")
     ids, items = ids[order], items[order]
@@ -97,6 +98,8 @@ def _block_candidates(q_ids, queries, ids, items, k, exclude_self):
         margin = (items.shape[1] + 2) * np.finfo(rough_kind).eps * norms * longest + 2 * 10.0**-SCORE_DIGITS
         best = (np.zeros(0, np.int64), ids[:0], np.zeros(0))
         edge = np.full(len(own), -np.inf)
+        if beat is not None:
+            edge = np.nextafter(beat[start : start + QUERY_CHUNK], -np.inf)
         at = 0
         while at < len(ids):
             end = min(at + (ITEM_CHUNK if at else FIRST_ITEMS), len(ids))

@@ -60,3 +60,22 @@ def test_empty_tables(spark):
     for q, i in ((queries.limit(0), items), (queries, items.limit(0))):
         ranked, skipped = rank_pruned(q, i, 3)
         assert ranked.collect() == [] and skipped == 0
+
+
+def test_visits_send_a_query_once_per_group(spark, monkeypatch):
+    """Spread vectors, where no block can be left out: a row per query and group, not per query and block."""
+    written = {}
+    keep = pruned.materialise
+
+    def spy(df, name):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(pruned, "materialise", spy)
+    monkeypatch.setattr(pruned, "GROUP_ITEMS", 100)
+    monkeypatch.setattr(pruned, "BOUNDS_AT_ONCE", 64)
+    items = frame(spark, np.random.default_rng(9).normal(size=(240, 16)))
+    same(items.withColumnRenamed("row_id", "q_id"), items, 5, pivots=20, block_items=8)
+    other = written["other-visits"]
+    assert other.groupBy("q_id", "group").count().filter("count > 1").isEmpty()
+    assert other.count() <= 240 * 4
