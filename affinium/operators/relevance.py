@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinium.functions import vectors as vec
+from affinium.operators.first_shared import first_shared_weights
 from affinium.operators.skew import join_totals
 from affinium.operators.wide_sets import overlap_weights
 from affinium.session import materialise
 
 # Signatures up to this size are counted through their subsets (2^size - 1).
 SUBSET_LIMIT = 8
+# Wider ones up to this size by their first shared value, whose work grows with the square of a set's width.
+FIRST_SHARED_LIMIT = 96
 
 
 def _subsets(categories: Column) -> Column:
@@ -54,29 +57,38 @@ def _narrow_overlaps(narrow: DataFrame) -> DataFrame:
 def overlaps_per_signature(signatures: DataFrame, subset_limit: int = SUBSET_LIMIT, **options) -> DataFrame:
     """`(sig, n_items, n_overlapping)`: items sharing at least one category, self included.
 
-    Signatures too wide for subset counting ask bitmaps of all signatures, and
-    the narrow ones bitmaps of the wide, which is exact too. The signatures
+    Pairs with a signature too wide for subset counting are counted at their
+    first shared value. Signatures too wide for that ask bitmaps of all
+    signatures, and the others bitmaps of those. All are exact. The signatures
     are used several times, so they are written out once.
     """
     numbered = signatures.withColumn("sig_id", F.monotonically_increasing_id())
     signatures = materialise(numbered, "signatures")
     narrow = signatures.filter(F.size("sig") <= subset_limit)
-    wide = signatures.filter(F.size("sig") > subset_limit)
-    sizes = signatures.agg(F.min(F.size("sig")).alias("least"), F.max(F.size("sig")).alias("most")).first()
-    any_narrow, any_wide = (sizes["least"] or 0) <= subset_limit, (sizes["most"] or 0) > subset_limit
+    listed = signatures.filter(F.size("sig") <= FIRST_SHARED_LIMIT)
+    vast = signatures.filter(F.size("sig") > FIRST_SHARED_LIMIT)
+    found = F.size("sig")
+    kinds = signatures.agg(
+        F.min(found).alias("least"), F.max(found).alias("most"),
+        F.max((found > subset_limit) & (found <= FIRST_SHARED_LIMIT)).alias("any_listed"),
+    ).first()
+    any_vast = (kinds["most"] or 0) > FIRST_SHARED_LIMIT
+
+    def sets(part: DataFrame) -> DataFrame:
+        return part.select(F.col("sig_id").alias("set_id"), F.col("sig").alias("members"), F.col("n_items").alias("weight"))
 
     def met(asking: DataFrame, held: DataFrame) -> DataFrame:
-        sets = [
-            part.select(F.col("sig_id").alias("set_id"), F.col("sig").alias("members"), F.col("n_items").alias("weight"))
-            for part in (asking, held)
-        ]
-        return overlap_weights(*sets, **options).withColumnRenamed("set_id", "sig_id")
-
-    parts = [_narrow_overlaps(narrow)] if any_narrow else []
-    if any_wide:
-        parts.append(met(wide, signatures))
-    if any_narrow and any_wide:
-        parts.append(met(narrow, wide))
+        return overlap_weights(sets(asking), sets(held), **options).withColumnRenamed("set_id", "sig_id")
+
+    parts = [_narrow_overlaps(narrow)] if (kinds["least"] or 0) <= subset_limit else []
+    if kinds["any_listed"]:
+        marked = sets(listed).withColumn("wide", F.size("members") > subset_limit)
+        blocks = {name: value for name, value in options.items() if name == "block_sets"}
+        parts.append(first_shared_weights(marked, **blocks).withColumnRenamed("set_id", "sig_id"))
+    if any_vast:
+        parts.append(met(vast, signatures))
+        if (kinds["least"] or 0) <= FIRST_SHARED_LIMIT:
+            parts.append(met(listed, vast))
     counted = reduce(DataFrame.unionByName, parts)
     counted = counted.groupBy("sig_id").agg(F.sum("n").cast("long").alias("n_overlapping"))
     # Sized by estimates that miss the explode above, so never broadcast.

@@ -27,6 +27,8 @@ SETS_AT_ONCE = 256
 # A bitmap may be this many times larger than its list, as it is united so much faster.
 BITMAP_FACTOR = 8
 VALUES_AT_ONCE = 4096
+# Flags that become bitmaps in one step.
+FLAGS_AT_ONCE = 1 << 24
 
 
 class Postings:
@@ -42,8 +44,14 @@ class Postings:
         self.bitmap_at = np.full(n_codes, -1)
         self.bitmap_at[common] = np.arange(len(common))
         self.bitmaps = np.zeros((len(common), self.n_bytes), dtype=np.uint8)
-        for at, code in enumerate(common):
-            self.bitmaps[at] = self.bits(self.rows[self.starts[code] : self.starts[code + 1]])
+        step = max(1, FLAGS_AT_ONCE // max(1, self.n_bytes * 8))
+        for start in range(0, len(common), step):
+            part = common[start : start + step]
+            ends = np.cumsum(lengths[part])
+            places = np.arange(lengths[part].sum()) + np.repeat(self.starts[part] - (ends - lengths[part]), lengths[part])
+            flags = np.zeros((len(part), self.n_bytes * 8), dtype=bool)
+            flags[np.repeat(np.arange(len(part)), lengths[part]), self.rows[places]] = True
+            self.bitmaps[start : start + step] = np.packbits(flags, axis=1)
 
     def bits(self, rows: np.ndarray) -> np.ndarray:
         flags = np.zeros(self.n_bytes * 8, dtype=bool)

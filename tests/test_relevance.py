@@ -42,6 +42,19 @@ def test_wide_sets_by_lists_and_bitmaps(spark, monkeypatch):
     assert {r["row_id"]: r["n_relevant"] for r in got.collect()} == brute_counts(sets)
 
 
+@pytest.mark.parametrize("limit,block_sets", [(96, 32_768), (96, 40), (14, 64)])
+def test_first_shared_value(spark, monkeypatch, limit, block_sets):
+    """Narrow, wide and vast sets, hot values in several blocks, copies with a weight; no row per set, value and block."""
+    monkeypatch.setattr(relevance, "FIRST_SHARED_LIMIT", limit)
+    if limit == 96:
+        monkeypatch.setattr(relevance, "overlap_weights", None)
+    rng = np.random.default_rng(11)
+    sets = [["all"] * (i % 2) + [f"v{v}" for v in rng.zipf(1.3, rng.integers(1, 22)) if v < 400] for i in range(400)]
+    sets += [[f"v{v}" for v in range(12)]] * 60 + [["alone"], [], ["v1"]]
+    got = relevance.relevant_counts(genre_frame(spark, sets), block_sets=block_sets)
+    assert {r["row_id"]: r["n_relevant"] for r in got.collect()} == brute_counts(sets)
+
+
 def test_postings_choose_the_smaller_form():
     codes = np.r_[np.zeros(1000, dtype=int), [1, 2, 2]]
     rows = np.r_[np.arange(1000), [5, 7, 999]].astype(np.int32)
