@@ -219,6 +219,21 @@ def test_workers_add_their_steps(spark, monkeypatch):
     assert plans == [3, 3]
 
 
+def test_rounds_of_an_epoch_are_bounded(spark, monkeypatch):
+    """40 batches in two rounds instead of 20: workers take more steps, and every row is still trained on."""
+    monkeypatch.setattr(fu, "MOST_ROUNDS", 2)
+    items, real = [], fu.take_round
+
+    def spy(*args):
+        items.append(real(*args)[1])
+        return 0.0, items[-1]
+
+    monkeypatch.setattr(fu, "take_round", spy)
+    df = encoded(spark, n=160)
+    fu.train_fusion(df, df, fu.FusionModel.create(6, SIZES, 4), epochs=1, batch_size=4, workers=2, steps=1)
+    assert len(items) == 2 and sum(items) == 160
+
+
 def test_workers_follow_the_batches():
     assert [fu.worker_count(n, 4) for n in (0, 1, 8, 18, 64, 10**6)] == [1, 1, 1, 2, 8, 8]
 
