@@ -11,10 +11,12 @@ from affinium.functions import vectors as vec
 from affinium.operators.arrow import matrix
 from affinium.operators.blocks import block_grid
 
-# Queries and items multiplied at once, which bounds the score matrix of a task; the first items only set the scores to beat.
+# Queries and items multiplied at once, so that their scores stay in a core's cache.
 QUERY_CHUNK = 512
-ITEM_CHUNK = 8192
+TILE_ITEMS = 1024
+# Items between two updates of the scores to beat: at first so many, then as many as were seen, at most so many.
 FIRST_ITEMS = 1024
+ITEM_CHUNK = 8192
 # Pairs scored in double precision at once.
 PAIRS_AT_ONCE = 1 << 16
 # Vectors with larger entries are not multiplied in single precision.
@@ -69,24 +71,42 @@ def _exact_scores(queries: np.ndarray, items: np.ndarray, rows: np.ndarray, cols
     found = np.empty(len(rows))
     for start in range(0, len(rows), PAIRS_AT_ONCE):
         part = slice(start, start + PAIRS_AT_ONCE)
-        found[part] = np.einsum("ij,ij->i", queries[rows[part]], items[cols[part]])
+        found[part] = np.einsum("ij,ij->i", queries[rows[part]], items[cols[part]].astype(np.float64, copy=False))
     return np.round(found, SCORE_DIGITS)
 
 
+def _marked(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few true entries of a mask, eight looked at together."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    places = (np.flatnonzero(flat.view(np.uint64) != 0)[:, None] * 8 + np.arange(8)).reshape(-1)
+    return places[flat[places]]
+
+
+def _longest(rows: np.ndarray) -> float:
+    """Length of the longest vector; not a number if one holds such an entry."""
+    found = [0.0]
+    for start in range(0, len(rows), ITEM_CHUNK):
+        part = rows[start : start + ITEM_CHUNK].astype(np.float64)
+        found.append(np.sqrt((part**2).sum(axis=1).max()))
+    return np.max(found)
+
+
 def _block_candidates(q_ids, queries, ids, items, k, exclude_self, beat=None):
     """Top k of one block of items for every query, by score and then by the lower id.
 
-    `queries` is a list column. Products in single precision, with a margin
-    for their error, only tell which pairs can beat the k-th score so far;
-    those are scored in double precision. Items come by rising id, so that an
-    equal score never beats a kept one. Scores below `beat`, one per query,
-    do not matter.
+    `queries` is a list column, `items` a matrix in single or double precision.
+    Products in single precision, with a margin for their error, only tell
+    which pairs can beat the k-th score so far; those are scored in double
+    precision. Items come by rising id, so that an equal score never beats a
+    kept one. Scores below `beat`, one per query, do not matter.
     """
     order = np.argsort(ids, kind="stable")
     ids, items = ids[order], items[order]
-    longest = np.sqrt((items**2).sum(axis=1).max(initial=0))
-    kind = np.float32 if max(longest, np.abs(items).max(initial=0)) < SINGLE_LIMIT else np.float64
-    rough_items = items.astype(kind)
+    longest = _longest(items)
+    kind = np.float32 if longest < SINGLE_LIMIT else np.float64
+    rough_items = items.astype(kind, copy=False)
     kept = []
     for start in range(0, len(q_ids), QUERY_CHUNK):
         own = q_ids[start : start + QUERY_CHUNK]
@@ -94,36 +114,43 @@ def _block_candidates(q_ids, queries, ids, items, k, exclude_self, beat=None):
         norms = np.sqrt((asked**2).sum(axis=1))
         # Too long or not a number: no single precision for these queries.
         rough_kind = kind if norms.max() < SINGLE_LIMIT else np.float64
-        rough, held = asked.astype(rough_kind), rough_items.astype(rough_kind, copy=False)
+        rough, held = asked.astype(rough_kind), rough_items if rough_kind is kind else items.astype(rough_kind)
         margin = (items.shape[1] + 2) * np.finfo(rough_kind).eps * norms * longest + 2 * 10.0**-SCORE_DIGITS
         best = (np.zeros(0, np.int64), ids[:0], np.zeros(0))
         edge = np.full(len(own), -np.inf)
         if beat is not None:
             edge = np.nextafter(beat[start : start + QUERY_CHUNK], -np.inf)
+        space, marks = np.empty(len(own) * TILE_ITEMS, rough_kind), np.empty(len(own) * TILE_ITEMS, bool)
         at = 0
         while at < len(ids):
-            end = min(at + (ITEM_CHUNK if at else FIRST_ITEMS), len(ids))
-            sims = rough @ held[at:end].T
-            low = edge - margin
-            if end - at > k and np.isneginf(edge).any():
+            step = min(at + min(max(at, FIRST_ITEMS), ITEM_CHUNK), len(ids))
+            open_ = np.isneginf(edge).any()
+            new = [best]
+            for first in range(at, step, TILE_ITEMS):
+                last = min(first + TILE_ITEMS, step)
+                wide = last - first
+                sims = np.matmul(rough, held[first:last].T, out=space[: len(own) * wide].reshape(-1, wide))
+                low = edge - margin
+                if wide > k and open_:
+                    if exclude_self:
+                        sims[own[:, None] == ids[None, first:last]] = -np.inf
+                    low = np.fmax(low, np.partition(sims, wide - k, axis=1)[:, wide - k] - 2 * margin)
+                low = np.nextafter(low.astype(rough_kind), rough_kind(-np.inf))
+                mask = np.greater_equal(sims, low[:, None], out=marks[: len(own) * wide].reshape(-1, wide))
+                rows, cols = np.divmod(_marked(mask), wide)
+                cols += first
                 if exclude_self:
-                    sims[own[:, None] == ids[None, at:end]] = -np.inf
-                low = np.fmax(low, np.partition(sims, end - at - k, axis=1)[:, end - at - k] - 2 * margin)
-            low = np.nextafter(low.astype(rough_kind), rough_kind(-np.inf))
-            rows, cols = np.divmod(np.flatnonzero(sims >= low[:, None]), end - at)
-            cols += at
-            if exclude_self:
-                others = own[rows] != ids[cols]
-                rows, cols = rows[others], cols[others]
-            found = _exact_scores(asked, items, rows, cols)
-            better = found > edge[rows]
-            if better.any():
-                new = (rows[better], ids[cols[better]], found[better])
-                best = _best(*(np.concatenate(pair) for pair in zip(best, new, strict=True)), k)
-                last = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
-                full = last[np.diff(np.r_[-1, last]) == k]
+                    others = own[rows] != ids[cols]
+                    rows, cols = rows[others], cols[others]
+                found = _exact_scores(asked, items, rows, cols)
+                better = found > edge[rows]
+                new.append((rows[better], ids[cols[better]], found[better]))
+            if any(len(part[0]) for part in new[1:]):
+                best = _best(*(np.concatenate(parts) for parts in zip(*new, strict=True)), k)
+                last_of = np.flatnonzero(np.r_[best[0][1:] != best[0][:-1], True])
+                full = last_of[np.diff(np.r_[-1, last_of]) == k]
                 edge[best[0][full]] = best[2][full]
-            at = end
+            at = step
         kept.append((best[0] + start, *best[1:]))
     return tuple(np.concatenate(parts) for parts in zip(*kept, strict=True))
 
@@ -159,7 +186,7 @@ def rank_catalog(
             nothing = np.zeros(0, np.int64)
             return _candidate_table(nothing, (nothing, nothing, np.zeros(0)))
         best = _block_candidates(
-            q_ids, left["embedding"], right["row_id"].to_numpy(), matrix(right["embedding"]), k, exclude_self,
+            q_ids, left["embedding"], right["row_id"].to_numpy(), matrix(right["embedding"], None), k, exclude_self,
         )
         return _candidate_table(q_ids, best)
 

@@ -107,6 +107,30 @@ def test_blocks_grow_with_the_table(spark):
     assert len(cells) <= MOST_BLOCKS**2 and sum(r["pairs"] for r in cells) == 400 * 400
 
 
+def test_scores_held_stay_in_cache():
+    """Vectors in single precision are not copied as doubles, and only a tile of the scores is held (2 MB)."""
+    vectors = np.random.default_rng(7).normal(size=(60_000, 32)).astype(np.float32)
+    column = pa.chunked_array([vector_column(vectors[:512], pa.float32())])
+    tracemalloc.start()
+    topk._block_candidates(np.arange(512), column, np.arange(60_000), vectors, 10, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+
+
+def test_large_query_beside_others():
+    """A query beyond single precision must not make the others of its chunk see items rounded to it."""
+    rng = np.random.default_rng(9)
+    vectors = 1 + rng.normal(size=(400, 8)) * 1e-7
+    queries = np.vstack([vectors[:50], np.full((1, 8), 1e16)])
+    column = pa.chunked_array([vector_column(queries, pa.float64())])
+    q_ids, ids = np.arange(51) + 1000, np.arange(400)
+    places, found, _ = topk._block_candidates(q_ids, column, ids, vectors, 5, True)
+    for q in range(50):
+        scores = np.round(np.einsum("ij,ij->i", np.tile(queries[q], (400, 1)), vectors), topk.SCORE_DIGITS)
+        assert list(found[places == q]) == list(np.lexsort((ids, -scores))[:5])
+
+
 def test_single_query_ties_and_zero_vector(spark):
     items = frame(spark, [[0, 0], [1, 0], [2, 0], [-1, 0]])
     scored = topk.scores(items, topk.query_vector([1, 0]), vec.cosine)
