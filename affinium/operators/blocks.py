@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16_384
-# Bytes of vectors, as doubles, in a block of the right side; the left side's is this many times larger.
-BLOCK_BYTES = 16 << 20
-LEFT_SHARE = 4
+# Bytes of vectors, as doubles, in a block of a side. Fewer and larger blocks mean fewer copies and fewer results to merge.
+BLOCK_BYTES = 32 << 20
 # Pairs of blocks that a table of a few blocks is cut into, so that all cores have some, of no fewer left rows than this.
 CELLS = 24
 LEAST_ROWS = 1024
-# Blocks of a side with given block_rows, after which blocks grow to their bytes.
-MOST_BLOCKS = 16
+# Blocks of a side with given block_rows, after which blocks grow to their bytes; each copies the other side once.
+MOST_BLOCKS = 6
+# Partitions per pair of blocks: with one, hashing puts three or four pairs into some tasks and none into others.
+SPREAD = 4
 
 
 def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -51,13 +52,12 @@ def block_grid(
 
     Without block_rows, blocks are sized by the bytes of the `vector` column.
     With both, block_rows holds for small tables only, as each side is copied
-    once per block of the other; the left blocks are the larger ones.
+    once per block of the other.
     """
     left_block = right_block = block_rows
     if vector is not None:
         left_rows, left_most = rows_of(left, vector)
         right_rows, right_most = rows_of(right, vector)
-        left_most *= LEFT_SHARE
         if block_rows is None:
             right_block = right_most
             per_side = -(-CELLS // block_count(right_rows, right_block))
@@ -73,8 +73,8 @@ def block_grid(
         # Fresh aliases: both sides may stem from one table.
         own_side = df.select(*[F.col(name).alias(name) for name in df.columns])
         placed = own_side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-        # A given number of partitions: few bytes can be much work, so none are merged.
-        return placed.withColumn(other, copies).repartition(n_left * n_right, "_lb", "_rb")
+        # A given number of partitions: few bytes can be much work, so none are merged, and few hold two cells.
+        return placed.withColumn(other, copies).repartition(SPREAD * n_left * n_right, "_lb", "_rb")
 
     left_cells = spread(left, left_id, "_lb", n_left, "_rb", n_right)
     right_cells = spread(right, right_id, "_rb", n_right, "_lb", n_left)

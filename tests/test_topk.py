@@ -131,6 +131,17 @@ def test_large_query_beside_others():
         assert list(found[places == q]) == list(np.lexsort((ids, -scores))[:5])
 
 
+def test_few_copies_of_small_tables(spark):
+    """A table of a few hundred blocks copies each side a few times, and its cells are dealt out over many tasks."""
+    rows = frame(spark, np.ones((400, 3)))
+    other = rows.withColumnRenamed("row_id", "q_id")
+    count = lambda a, b: pa.table({"n": pa.array([a.num_rows + b.num_rows], pa.int64())})
+    cells = block_grid(other, rows, "q_id", "row_id", count, "n long", 2, vector="embedding")
+    found = cells.withColumn("task", F.spark_partition_id()).collect()
+    assert sum(r["n"] for r in found) <= 12 * 400
+    assert len({r["task"] for r in found}) >= 0.8 * len(found)
+
+
 def test_single_query_ties_and_zero_vector(spark):
     items = frame(spark, [[0, 0], [1, 0], [2, 0], [-1, 0]])
     scored = topk.scores(items, topk.query_vector([1, 0]), vec.cosine)
