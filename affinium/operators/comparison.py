@@ -25,9 +25,29 @@ def settings_rows(configs: DataFrame, settings: list[str]) -> DataFrame:
     return configs.select("run", F.inline(F.array(*shown)))
 
 
-def settings_table(configs: DataFrame, settings: list[str], runs: list[str]) -> DataFrame:
-    """The same as setting × run, for the given runs."""
-    return side_by_side(settings_rows(configs, settings), ["setting"], runs)
+def column_names(runs: list[str | None], taken: list[str]) -> list[str]:
+    """A column name per run: its own, or all numbered where some are empty, taken or differ only in case (or by null)."""
+    names = ["null" if run is None else run for run in runs]
+    if "" in names or len({name.lower() for name in names + taken}) < len(names + taken):
+        return [f"{at}:{name}" for at, name in enumerate(names, 1)]
+    return names
+
+
+def settings_table(configs: DataFrame, settings: list[str], runs: list[str] | None = None) -> DataFrame:
+    """The same as setting × run, for the given runs or else for all that the configs hold, the null run too.
+
+    As each run has each setting, its place in the order of runs is its column: a pivot on all runs would compare
+    every value with every run.
+    """
+    rows = settings_rows(configs, settings)
+    if runs is not None:
+        return side_by_side(rows, ["setting"], runs)
+    found = [row["run"] for row in configs.select("run").distinct().orderBy("run").collect()]
+    cells = rows.groupBy("setting", "run").agg(F.first("value").alias("value"))
+    lined = cells.groupBy("setting").agg(F.sort_array(F.collect_list(F.struct("run", "value"))).alias("cells"))
+    values = lined.select("setting", F.col("cells.value").alias("values"))
+    named = enumerate(column_names(found, ["setting"]))
+    return values.select("setting", *(F.col("values")[at].alias(name) for at, name in named))
 
 
 def same_test_split(configs: DataFrame) -> DataFrame:

@@ -336,10 +336,19 @@ def run_configs(spark, folder):
   from documents group by 1),
 s as (select source, unnest([{'k': 'data', 'v': source}, {'k': 'text_model', 'v': '-'}, {'k': 'finetune_text', 'v': '-'},
   {'k': 'embed_dim', 'v': embed_dim::varchar}, {'k': 'hidden_dim', 'v': '-'}, {'k': 'modality_dropout', 'v': '-'},
-  {'k': 'jaccard', 'v': '-'}, {'k': 'epochs', 'v': epochs::varchar}, {'k': 'seed', 'v': '42'}]) e from c)
-select source run, e.k setting, coalesce(e.v, '-') "value" from s""")
+  {'k': 'jaccard', 'v': '-'}, {'k': 'epochs', 'v': epochs::varchar}, {'k': 'seed', 'v': '42'}]) e from c),
+named as (
+  select source, name, row_number() over (order by source nulls first) place,
+         bool_or(lower(name) in ('', 'setting')) over () or count(distinct lower(name)) over () < count(*) over () numbered
+  from (select source, coalesce(source, 'null') name from c)),
+cells as (
+  select case when numbered then place || ':' || name else name end run, e.k setting, coalesce(e.v, '-') "value"
+  from s join named on s.source is not distinct from named.source)
+from (pivot cells on run using first("value") group by setting)""")
 def jn10(spark, folder):
-    return comparison.settings_rows(run_configs(spark, folder), fixed.COMPARED_SETTINGS)
+    """Settings of every source, one column each: what `compare` shows of its runs."""
+    configs = materialise(run_configs(spark, folder), "configs")
+    return comparison.settings_table(configs, fixed.COMPARED_SETTINGS)
 
 
 @register("agg12_comparable", "select count(distinct source) = 1 comparable from documents")
